@@ -34,6 +34,8 @@ START = np.array([0.9964, 1e-3, 2e-3, 6e-4])
 NORMAL_WIDTH, NORMAL_TAIL = 3.3, 3.5
 SPIKE_FROM, SPIKE_TO = 10.0, 1e6
 REPEATS = {"normal": 0.02, "stuck": 0.98}
+#: Least distance of a spike from the sound bars before and after it, in usual moves.
+CLEAR = 25.0
 #: A price has returned if the levels before and after differ by less than this part of the excursion.
 RETURNED = 0.5
 
@@ -124,12 +126,14 @@ def judge(prices: np.ndarray, volume: np.ndarray, usual: float) -> tuple[np.ndar
         for t in range(a, b + 1):
             if not spike[t]:
                 continue
-            far = np.nanmax(away[t])
             if np.isnan(before) or np.isnan(after):
-                # at the end of what is known a bar counts if its own close is back at the level
-                back = away[t, 3] < RETURNED * far
+                # at the end of what is known a bar counts only if its own other prices are back at the level
+                far = np.nanmax(away[t])
+                back = far >= CLEAR * usual and np.sum(away[t] < RETURNED * far) >= 2
             else:
-                back = abs(after - before) < RETURNED * far
+                gap = np.minimum(np.abs(logs[t] - before), np.abs(logs[t] - after))
+                far = np.nanmax(gap)
+                back = far >= CLEAR * usual and abs(after - before) < RETURNED * far
             if back:
                 state[t] = 1
     state[hard] = 3

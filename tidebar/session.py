@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
@@ -50,3 +51,11 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     voids = {c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"}
     (df.withColumns(voids) if voids else df).write.parquet(path)
     return spark.read.parquet(path)
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this package as bytes; workers read it with ``pickle.loads(shared.value)``.
+
+    Only for objects whose size a parameter bounds.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
