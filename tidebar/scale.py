@@ -52,3 +52,32 @@ def ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str], start:
         .withColumn("_rank", F.col("_before") + F.col("_in"))
         .drop("_in", "_before")
     )
+
+
+def blocked(df: DataFrame, keys: list[str], index: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Cut each key into blocks of ``size`` consecutive rows with copies of the rows around them.
+
+    Adds ``_block`` and ``_core`` (false for copies). A frame that reaches at most ``before`` rows back and ``after``
+    rows ahead gives the same result within a block as within the whole key, so windows and grouped functions run on
+    (key, block) and no task holds a whole hot key. ``index`` is the row's 0-based number in its key.
+    """
+    home = F.floor(F.col(index) / size)
+    first = F.floor((F.col(index) - after) / size)
+    last = F.floor((F.col(index) + before) / size)
+    spread = df.withColumns({"_home": home, "_block": F.explode(F.sequence(F.greatest(first, F.lit(0)), last))})
+    return spread.withColumn("_core", F.col("_home") == F.col("_block")).drop("_home")
+
+
+def last_known(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the last non-null ``value`` up to and including the row, per key.
+
+    ``bucket`` must be non-decreasing in ``order`` (a day, a block number). Rows are scanned within their bucket, and
+    only one row per bucket takes part in the scan over buckets.
+    """
+    w = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.where(F.col(value).isNotNull()).groupBy(*keys, bucket).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    buckets = df.select(*keys, bucket).distinct().join(ends, [*keys, bucket], "left")
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select(*keys, bucket, F.last("_end", True).over(before).alias("_carry"))
+    x = df.withColumn(name, F.last(value, True).over(w)).join(carried, [*keys, bucket])
+    return x.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
