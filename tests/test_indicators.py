@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tidebar.operators import indicators as I
 
-SIX = [(100, 101, 99, 100.5), (100.5, 102, 100, 101.5), (101.5, 101.8, 98.5, 99), (99, 100, 98.5, 99.8), (99.8, 103, 99.5, 102.5), (102.5, 102.6, 101, 101.2)]
+SIX = [(100.0, 101.0, 99.0, 100.5), (100.5, 102.0, 100.0, 101.5), (101.5, 101.8, 98.5, 99.0), (99.0, 100.0, 98.5, 99.8), (99.8, 103.0, 99.5, 102.5), (102.5, 102.6, 101.0, 101.2)]
 
 
 def arrays(bars):
