@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timetext as T
@@ -49,56 +49,64 @@ def _em(pdf: pd.DataFrame) -> pd.DataFrame:
 def read_forms(df: DataFrame, row_id: str, text: str, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse each text under its forms.
 
-    Columns: row_id, source, ``keep``, kind (0 unreadable, 1 own zone, 2 zone-less, 3 zone abbreviation), ``own_us``
-    (reading under the only order), ``mdy_us`` / ``dmy_us`` (slashed readings), ``off_us``, ``abbr``.
+    Columns: row_id, source, ``keep``, kind (0 unreadable, 1 own zone, 2 zone-less, 3 zone abbreviation), ``slashed``,
+    ``a_us`` (the only reading, or month first if slashed), ``b_us`` (day first), ``off_us``, ``abbr``.
     """
     raw = df.select(F.col(row_id).alias("row_id"), F.col(source).cast("long").alias("source"), *[F.col(k).alias(f"k_{k}") for k in keep], T.trimmed(F.col(text)).alias("_s"))
     x = raw.withColumn("_f", T.form_of(F.col("_s")))
     s, form = F.col("_s"), F.col("_f")
     worded = form.isin(1, 3, 4)
-    zero = F.lit("00:00:00")
-    clock = F.regexp_extract(s, r"(\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)", 1)
-    x = x.withColumns(
-        {
-            "_time": F.when(worded, F.translate(clock, ",", ".")),
-            "_tail": F.when(worded & s.rlike(r"[A-Za-z]$|[+-]\d{2}:?\d{2}$"), F.regexp_extract(s, r":\d{2}[.\d]*(?: ?([AaPp])[Mm])? *([A-Z]+|[+-]\d{2}:?\d{2})?$", 0)).otherwise(F.lit("")),
-            "_d": F.when(form == 1, F.array(F.substring_index(F.substring_index(s, " ", 1), "T", 1))).when(form.isin(3, 4), F.split(F.substring_index(s, ":", 1), r"[/ -]+")),
-        }
-    )
-    tail, d = F.col("_tail"), F.col("_d")
-    time = F.when(F.col("_time") == "", zero).when(F.col("_time").rlike(r"^\d+:\d+$"), F.concat("_time", F.lit(":00"))).otherwise(F.col("_time"))
-    cut = lambda i, n: F.substring(s, i, n)
-    compact = F.concat(cut(1, 4), F.lit("-"), cut(5, 2), F.lit("-"), cut(7, 2), F.when(F.length(s) == 8, F.lit(" 00:00:00")).otherwise(F.concat(F.lit(" "), cut(10, 2), F.lit(":"), cut(12, 2), F.lit(":"), cut(14, 2), F.lit("."), F.rpad(cut(16, 3), 3, "0"))))
-    at = lambda i: F.get(d, F.lit(i))
-    date = lambda y, m, day: F.concat(y, F.lit("-"), m, F.lit("-"), day, F.lit(" "), time)
-    own = F.when(form == 0, compact).when(form == 1, F.concat(at(0), F.lit(" "), time)).when(form == 4, date(at(2), T.month_number(at(1)).cast("string"), at(0)))
-    length = F.length(s)
-    # an epoch count is read at its own precision; nanoseconds are cut to microseconds
-    epoch = F.when(length == 10, s.try_cast("long") * T.US).when(length == 13, s.try_cast("long") * 1000).when(length == 16, s.try_cast("long")).otherwise(F.substring(s, 1, 16).try_cast("long"))
+    kept = ["row_id", "source", *[f"k_{k}" for k in keep]]
+    tail = r":\d{2}[.,\d]*(?: ?[AaPp][Mm])? *(?:[A-Z]+|[+-]\d{2}:?\d{2})?$"
+    x = x.select(
+        *kept, "_s", _apart(form).alias("_f"),
+        F.when(worded, F.regexp_extract(s, r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?", 0)).alias("_time"),
+        F.when(worded, F.regexp_extract(s, tail, 0)).otherwise(F.lit("")).alias("_tail"),
+        F.when(form.isin(1, 3), F.regexp_extract(s, r"^[0-9/-]+", 0)).when(form == 4, F.regexp_extract(s, r"^\d+[ -][A-Za-z]+[ -]\d+", 0)).when(form == 0, F.rpad(F.when(F.length(s) == 8, F.concat(s, F.lit(" 000000"))).otherwise(s), 18, "0")).alias("_date"),
+    )
+    form, s, date = F.col("_f"), F.col("_s"), F.col("_date")
+    named = F.split(date, "[ -]")
+    x = x.select(
+        *kept, _apart(form).alias("_f"), "_time", "_tail",
+        F.when(form == 2, s).alias("_digits"),
+        F.when(form == 0, F.regexp_replace(date, r"^(\d{4})(\d\d)(\d\d) (\d\d)(\d\d)(\d\d)(\d{3})$", "$1-$2-$3 $4:$5:$6.$7")).when(form == 3, F.regexp_replace(date, r"^(\d+)/(\d+)/(\d+)$", "$3-$1-$2"))
+        .when(form == 4, F.concat_ws("-", F.get(named, F.lit(2)), T.month_number(F.get(named, F.lit(1))).cast("string"), F.get(named, F.lit(0)))).otherwise(date).alias("_one"),
+        F.when(form == 3, F.regexp_replace(date, r"^(\d+)/(\d+)/(\d+)$", "$3-$2-$1")).alias("_two"),
+        F.when(worded, F.concat(F.lit(" "), F.when(F.col("_time") == "", "00:00:00").otherwise(F.regexp_replace(F.translate("_time", ",", "."), r"^(\d+:\d+)$", "$1:00")))).otherwise(F.lit("")).alias("_clock"),
+    )
+    tail, form = F.col("_tail"), F.col("_f")
     half = F.when(form == 3, F.upper(F.regexp_extract(tail, r"([AaPp])[Mm]", 1))).otherwise(F.lit(""))
-    x = x.withColumns(
-        {
-            "_own": F.when(form == 2, epoch).when(form.isin(0, 1, 4), T.instant_us(own)),
-            "_mdy": F.when(form == 3, T.instant_us(date(at(2), at(0), at(1)))),
-            "_dmy": F.when(form == 3, T.instant_us(date(at(2), at(1), at(0)))),
-            "_half": half,
-            "_zone": F.when(worded & (tail != ""), F.regexp_replace(tail, r"^:\d{2}[.\d]*(?: ?[AaPp][Mm])? *", "")).otherwise(F.lit("")),
-        }
-    )
+    zone = F.when(tail != "", F.regexp_replace(tail, r"^:\d{2}[.,\d]*(?: ?[AaPp][Mm])? *", "")).otherwise(F.lit(""))
+    hour = F.substring_index(F.when(form == 3, F.col("_time")), ":", 1)
+    x = x.select(*kept, _apart(form).alias("_f"), "_digits", F.concat("_one", "_clock").alias("_one"), F.concat("_two", "_clock").alias("_two"), half.alias("_half"), hour.alias("_hour"), zone.alias("_zone"))
+    # an epoch count is read at its own precision; nanoseconds are cut to microseconds
+    # (casts see nulls instead of other texts, as a failing cast costs as much as all the rest)
+    n = F.length("_digits")
+    epoch = F.substring("_digits", 1, 16).try_cast("long") * F.when(n == 10, T.US).when(n == 13, 1000).otherwise(1)
     # twelve-hour clocks: 12 AM is midnight, 12 PM noon, and 0 or 13 to 23 with AM or PM name no time
-    h = F.substring_index(F.col("_time"), ":", 1).try_cast("int")
+    h = F.when(F.col("_half") != "", F.col("_hour")).try_cast("int")
     noon = 12 * 3600 * T.US
     shift = F.when(F.col("_half") == "", F.lit(0)).when((h < 1) | (h > 12), F.lit(None)).when((F.col("_half") == "P") & (h < 12), F.lit(noon)).when((F.col("_half") == "A") & (h == 12), F.lit(-noon)).otherwise(F.lit(0))
-    x = x.withColumn("_shift", shift.cast("long"))
-    x = x.withColumns({"own_us": F.col("_own"), "mdy_us": F.col("_mdy") + F.col("_shift"), "dmy_us": F.col("_dmy") + F.col("_shift")})
-    zone = F.col("_zone")
+    x = x.select(*kept, _apart(F.col("_f")).alias("_f"), "_zone", epoch.alias("_epoch"), T.instant_us(F.col("_one")).alias("_a"), T.instant_us(F.col("_two")).alias("_b"), shift.cast("long").alias("_shift"))
+    form, zone = F.col("_f"), F.col("_zone")
     utc = zone.isin("Z", "UTC", "GMT", "UT")
-    own_offset = F.when(utc | (form == 2), F.lit(0).cast("long")).when(zone.rlike(r"^[+-]"), T.offset_us(zone))
-    readable = F.coalesce(F.col("own_us"), F.col("mdy_us"), F.col("dmy_us")).isNotNull()
-    x = x.withColumn("off_us", own_offset)
-    is_abbr = zone.rlike(r"^[A-Z]") & ~utc
-    kind = F.when(~readable, 0).when(F.col("off_us").isNotNull(), 1).when(is_abbr, 3).when(zone == "", 2).otherwise(0)
-    return x.select("row_id", "source", *[f"k_{k}" for k in keep], F.coalesce(kind, F.lit(0)).alias("kind"), "own_us", "mdy_us", "dmy_us", "off_us", F.when(is_abbr, zone).alias("abbr"))
+    offset = F.when(utc | (form == 2), F.lit(0).cast("long")).otherwise(T.offset_us(F.when(zone.rlike(r"^[+-]"), zone)))
+    slashed = F.coalesce(form == 3, F.lit(False))
+    x = x.select(
+        *kept, slashed.alias("slashed"), F.when(form == 2, F.col("_epoch")).when(form == 3, F.col("_a") + F.col("_shift")).otherwise(F.col("_a")).alias("a_us"), (F.col("_b") + F.col("_shift")).alias("b_us"),
+        offset.alias("off_us"), F.when(zone.rlike(r"^[A-Z]") & ~utc, zone).alias("abbr"), (zone == "").alias("_bare"),
+    )
+    kind = F.when(F.coalesce("a_us", "b_us").isNull(), 0).when(F.col("off_us").isNotNull(), 1).when(F.col("abbr").isNotNull(), 3).when(F.col("_bare"), 2).otherwise(0)
+    return x.select(*kept, kind.alias("kind"), "slashed", "a_us", "b_us", "off_us", "abbr")
+
+
+def _apart(c: Column) -> Column:
+    """The column itself, by way of a higher-order function, which keeps its projection out of whole-stage code.
+
+    All projections of the reader in one generated method are more than the 8 KB of byte code up to which the JVM
+    compiles a method; interpreted, they take three times as long.
+    """
+    return F.get(F.transform(F.array(c), lambda v: v), F.lit(0))
 
 
 def normalise_timestamps(
@@ -121,8 +129,7 @@ def normalise_timestamps(
     parsed = materialize(read_forms(df, row_id, text, source, keep), "parsed")
     styles = feeds.groupBy(F.col(source).cast("long").alias("source")).agg(F.first("date_style", True).alias("declared"), F.first("tz_name", True).alias("tz_name"))
 
-    slashed = parsed.where("mdy_us is not null or dmy_us is not null")
-    counts = slashed.groupBy("source", F.col("mdy_us").isNotNull().cast("int").alias("ok_mdy"), F.col("dmy_us").isNotNull().cast("int").alias("ok_dmy")).agg(F.count("*").alias("n"))
+    counts = parsed.where("slashed and kind <> 0").groupBy("source", F.col("a_us").isNotNull().cast("int").alias("ok_mdy"), F.col("b_us").isNotNull().cast("int").alias("ok_dmy")).agg(F.count("*").alias("n"))
     mixture = counts.join(styles.select("source", "declared"), "source", "left").groupBy("source").applyInPandas(_em, _EM_SCHEMA)
 
     # zones: the distinct names are few (there are some 600 regions); their abbreviations are tabulated once
@@ -137,14 +144,14 @@ def normalise_timestamps(
     settled = styles.join(F.broadcast(zones), "tz_name", "left").join(mixture.select("source", "p_mdy"), "source", "left").select("source", "region", "fixed_us", "abbreviations", pick.alias("pick"))
     x = lookup_join(parsed, materialize(settled, "sources"), ["source"])
 
-    mdy, dmy, pick = F.col("mdy_us"), F.col("dmy_us"), F.coalesce(F.col("pick"), F.lit("?"))
+    mdy, dmy, pick = F.col("a_us"), F.col("b_us"), F.coalesce(F.col("pick"), F.lit("?"))
     # a reading that only the other than the declared style allows is no date of this source
     slashed_us = F.when(pick == "M", mdy).when(pick == "D", dmy).when(mdy.isNull(), dmy).when(dmy.isNull() | (mdy == dmy) | (pick == "m"), mdy).when(pick == "d", dmy)
-    impossible = ((pick == "M") & mdy.isNull() | (pick == "D") & dmy.isNull()) & F.col("own_us").isNull()
+    impossible = ((pick == "M") & mdy.isNull() | (pick == "D") & dmy.isNull()) & F.col("slashed")
     kind = F.col("kind")
     # a feed with a fixed offset has one zone, so its abbreviation can only be that
     offset = F.when(kind == 1, F.col("off_us")).when(kind == 3, F.coalesce(F.get(F.map_values(F.map_filter("abbreviations", lambda k, _: k == F.col("abbr"))), F.lit(0)), F.col("fixed_us"))).when(kind == 2, F.col("fixed_us"))
-    x = x.select("row_id", "source", *[f"k_{k}" for k in keep], F.when(impossible, 0).otherwise(kind).alias("kind"), F.coalesce("own_us", slashed_us).alias("_local"), offset.alias("_off"), "region")
+    x = x.select("row_id", "source", *[f"k_{k}" for k in keep], F.when(impossible, 0).otherwise(kind).alias("kind"), F.when(F.col("slashed"), slashed_us).otherwise(mdy).alias("_local"), offset.alias("_off"), "region")
     x = x.withColumn("_reg", F.when((F.col("kind") == 2) & F.col("_off").isNull() & F.col("region").isNotNull(), F.col("_local")))
     x = T.with_local_to_utc(x, "_reg", "region")
     kind, n = F.col("kind"), F.col("_n")
