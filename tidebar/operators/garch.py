@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..scale import by_group
+
 FLOOR = 1e-18
 #: Least rows of an evaluation, and bounds on mean forecast over mean realised variance.
 LEAST_ROWS, RATIO_LOW, RATIO_HIGH = 300, 0.2, 5.0
@@ -106,7 +108,7 @@ def garch_fit(train: DataFrame, keys: list[str], index: str, value: str = "ret")
             return pd.DataFrame(columns=names)
         return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | fit_one(r)])[names]
 
-    return train.select(*keys, index, value).groupBy(*keys).applyInPandas(run, schema)
+    return by_group(train.select(*keys, index, value), *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def conditional_variance(rows: DataFrame, keys: list[str], index: str, value: str = "ret") -> DataFrame:
@@ -120,7 +122,7 @@ def conditional_variance(rows: DataFrame, keys: list[str], index: str, value: st
         out["h"] = variance_path(pdf[value].to_numpy(float), *(float(first[c]) for c in ("mu", "omega", "alpha", "beta", "h0", "eps0")))
         return out
 
-    return rows.select(*keys, index, value, "mu", "omega", "alpha", "beta", "h0", "eps0").groupBy(*keys).applyInPandas(run, schema)
+    return by_group(rows.select(*keys, index, value, "mu", "omega", "alpha", "beta", "h0", "eps0"), *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def next_variance(ret: Column, h: Column, mu: Column, omega: Column, alpha: Column, beta: Column) -> Column:

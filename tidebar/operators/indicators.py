@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import blocked, last_known
+from ..scale import blocked, by_group, last_known
 
 BLOCK = 8192
 #: Runs without volume that last so long count as a halt.
@@ -129,7 +129,7 @@ def rolling_folds(bars: DataFrame, key: str, width: int, lag: int = 1) -> DataFr
     x = blocked(bars.select(F.col(key).alias("key"), "bar_idx", "open", "high", "low", "close"), ["key"], "bar_idx", BLOCK, before=width - 1)
     kind = dict(bars.dtypes)[key]
     schema = f"key {kind}, bar_idx long, " + ", ".join(f"{f} double" for f in FOLDS)
-    return x.groupBy("key", "_block").applyInPandas(_folds_of(width, lag), schema).withColumnRenamed("key", key)
+    return by_group(x, "key", "_block").groupBy("key", "_block").applyInPandas(_folds_of(width, lag), schema).withColumnRenamed("key", key)
 
 
 # --- frames -----------------------------------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import lookup_join, ranked
+from ..scale import by_group, lookup_join, ranked
 from ..session import materialize
 
 BLOCK, HALO = 1024, 48
@@ -172,7 +172,7 @@ def flag_bars(bars: DataFrame) -> DataFrame:
     homes = F.array_compact(F.array(block, F.when((place < HALO) & (block > 0), block - 1), F.when(place >= BLOCK - HALO, block + 1)))
     spread = bars_in_order.select("bar_id", "series_id", *PRICES, "volume", "_rank", block.alias("_home"), F.explode(homes).alias("block"))
     spread = spread.withColumn("core", F.col("_home") == F.col("block"))
-    judged = lookup_join(spread, usual, ["series_id"]).groupBy("series_id", "block").applyInPandas(_block, _SCHEMA)
+    judged = by_group(lookup_join(spread, usual, ["series_id"]), "series_id", "block").groupBy("series_id", "block").applyInPandas(_block, _SCHEMA)
 
     # copies take the state of the bar they repeat; only bars that have copies are looked up
     judged = materialize(judged, "judged")

@@ -11,11 +11,13 @@ import math
 from dataclasses import asdict, dataclass, fields
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .indicators import drawdown, first_peak, max_drawdown, rise
+from ..scale import by_group
+from .indicators import first_peak, max_drawdown, rise
 
 
 @dataclass(frozen=True)
@@ -80,18 +82,19 @@ class Since:
     def push(self, h: float, lo: float, c: float) -> None:
         if not self.tops:
             self.base, self.best, self.peak, self.trough = lo, c, c, c
-            self.first_low = lo
+            self.first_low, self.base_at = lo, 0
             self.tops.append(h)
             return
         if lo <= self.base:
-            self.base, self.best = lo, c
+            self.base, self.best, self.base_at = lo, c, len(self.tops)
         elif h > self.best:
             self.best = h
         if h > self.peak:
             self.peak, self.trough = h, c
         elif lo < self.trough:
             self.trough = lo
-        self.tops.append(max(self.tops[-1], h))
+        top = self.tops[-1]
+        self.tops.append(h if h > top else top)
 
     @property
     def rise(self) -> float:
@@ -205,10 +208,11 @@ class Machine:
     def _arm(self, row: dict, legacy: bool) -> bool:
         """Test the window for speed and calm; on success anchor at its last lowest low."""
         p, i = self.p, self.i
-        w = self._window(self.last, i)
-        rose, base = (float(x[0]) for x in rise(*w))
-        peak, drop = (float(x[0]) for x in drawdown(*w))
-        share = ratio(rose, float(w[2][0, 0]) if legacy else base)
+        seen = Since()
+        for _, h, lo, c in self.bars[self.last - self.offset :]:
+            seen.push(h, lo, c)
+        rose, peak, drop = seen.rise, seen.peak, seen.drop
+        share = ratio(rose, seen.first_low if legacy else seen.base)
         lost = ratio(drop, peak)
         row |= {"withdrawal": drop, "wd_per": _round(lost * 100), "increase": rose, "inc_per": _round(share * 100)}
         fast, calm = share >= p.open_threshold, legacy or lost < p.open_withdrawal
@@ -218,8 +222,7 @@ class Machine:
             return False
         if not fast:
             return False
-        self.low = i - int(np.argmin(w[2][0][::-1]))
-        self.last = self.low
+        self.low = self.last = self.last + seen.base_at
         self.since = Since()
         for _, h, lo, c in self.bars[self.low - self.offset :]:
             self.since.push(h, lo, c)
@@ -331,27 +334,20 @@ def run_strategy(bars: DataFrame, sets: list[Params], key: str = "symbol") -> Da
     if not by_id:
         x = x.limit(0)
     schema = f"{key} {kind}, param_id long, bar_idx long, ts timestamp_ntz, close double, low_date timestamp_ntz, high_date timestamp_ntz, {SIGNAL}"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx", kind="stable")
-        machine = Machine(by_id[int(pdf["param_id"].iloc[0])])
-        rows = [machine.step(*b) for b in zip(*(pdf[c].to_numpy(float).tolist() for c in ("open", "high", "low", "close")))]
-        out = pd.DataFrame(rows, columns=COLUMNS)
-        ts = pdf["ts"].to_numpy()
+    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    types = [arrow[c.split()[1]] for c in SIGNAL.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bar_idx").combine_chunks()
+        machine = Machine(by_id[table["param_id"][0].as_py()])
+        bars = zip(*(table[c].to_pylist() for c in ("open", "high", "low", "close")))
+        rows = [tuple(machine.step(*b).values()) for b in bars]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+        out = {key: table["_key"], "param_id": table["param_id"], "bar_idx": table["bar_idx"], "ts": table["ts"], "close": table["close"]}
+        ts, here = table["ts"].combine_chunks(), pa.array(range(len(rows)), pa.int64())
         for name in ("low", "high"):
-            at = out[f"{name}_index"].to_numpy(float)
-            known = np.isfinite(at) & (at < np.arange(len(out)))
-            date = np.full(len(out), np.datetime64("NaT"), dtype="datetime64[ns]")
-            date[known] = ts[at[known].astype(int)]
-            out[f"{name}_date"] = date
-        for c in COLUMNS:
-            if c != "reset_reason":
-                out[c] = pd.to_numeric(out[c]).astype("Int64" if c in _WHOLE else "Float64")
-        out.insert(0, key, pdf["_key"].to_numpy())
-        out["param_id"], out["bar_idx"], out["ts"], out["close"] = pdf["param_id"].to_numpy(), pdf["bar_idx"].to_numpy(), ts, pdf["close"].to_numpy()
-        return out[[c.split()[0] for c in schema.split(", ")]]
-
-    return x.groupBy("_key", "param_id").applyInPandas(run, schema)
-
-
-_WHOLE = {c.split()[0] for c in SIGNAL.split(", ") if c.split()[1] in ("int", "long")}
+            at = columns[COLUMNS.index(f"{name}_index")]
+            out[f"{name}_date"] = pc.take(ts, pc.if_else(pc.less(at, here), at, None))
+        return pa.table(out | dict(zip(COLUMNS, columns)))
+
+    return by_group(x, "_key", "param_id").groupBy("_key", "param_id").applyInArrow(run, schema)

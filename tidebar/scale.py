@@ -81,3 +81,13 @@ def last_known(df: DataFrame, keys: list[str], bucket: str, order: list[str], va
     carried = buckets.select(*keys, bucket, F.last("_end", True).over(before).alias("_carry"))
     x = df.withColumn(name, F.last(value, True).over(w)).join(carried, [*keys, bucket])
     return x.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
+
+
+def by_group(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle to as many tasks as the session has shuffle partitions, before a function in Python on each group.
+
+    Adaptive execution would merge partitions by their bytes, but what these functions cost is their time per row.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
