@@ -61,3 +61,13 @@ def test_empty_and_all_equal(spark, table):
     same = spark.range(20_000).selectExpr("id", "'x' as g", "2.5d as v")
     r = M.multi_select(same, ["g"], "v", [0.01, 0.99], "id").first()
     assert (r.n, r.q0, r.q1) == (20_000, 2.5, 2.5)
+
+
+@pytest.mark.parametrize("sizes", [(4096, 256, 4096), (64, 4, 10)])
+def test_interpolated(spark, table, monkeypatch, sizes):
+    for name, v in zip(("CHUNK", "FAN", "FEW"), sizes):
+        monkeypatch.setattr(M, name, v)
+    rows, df = table
+    for r in M.interpolated(df, ["g"], "v", PROBS, "id").collect():
+        v = [x[3] for x in rows if x[1] == r.g]
+        assert r.n == len(v) and np.allclose([r[f"q{i}"] for i in range(len(PROBS))], np.quantile(v, PROBS), rtol=1e-12)

@@ -7,13 +7,15 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..scale import by_group
+from ..scale import by_group, ranked, scan_groups
 
 FLOOR = 1e-18
+QQ_PIECES = 1000
 #: Least rows of an evaluation, and bounds on mean forecast over mean realised variance.
 LEAST_ROWS, RATIO_LOW, RATIO_HIGH = 300, 0.2, 5.0
 _FIT = "mu double, omega double, alpha double, beta double, h_last double, eps_last double, loglik double, n long"
@@ -115,14 +117,16 @@ def conditional_variance(rows: DataFrame, keys: list[str], index: str, value: st
     """``h`` at every row from the parameters on it (mu, omega, alpha, beta, h0, eps0), in order of ``index``."""
     schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + f", {index} long, {value} double, h double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index, kind="stable")
-        first = pdf.iloc[0]
-        out = pdf[[*keys, index, value]].copy()
-        out["h"] = variance_path(pdf[value].to_numpy(float), *(float(first[c]) for c in ("mu", "omega", "alpha", "beta", "h0", "eps0")))
-        return out
+    def start(piece: pa.Table) -> dict:
+        return {c: float(piece[c][0].as_py()) for c in ("mu", "omega", "alpha", "beta", "h0", "eps0")}
+
+    def step(s: dict, piece: pa.Table) -> pa.Table:
+        r = piece[value].to_numpy()
+        h = variance_path(r, *(s[c] for c in ("mu", "omega", "alpha", "beta", "h0", "eps0")))
+        s |= {"h0": float(h[-1]), "eps0": float(r[-1]) - s["mu"]}
+        return pa.table({c: piece[c] for c in (*keys, index, value)} | {"h": pa.array(h)})
 
-    return by_group(rows.select(*keys, index, value, "mu", "omega", "alpha", "beta", "h0", "eps0"), *keys).groupBy(*keys).applyInPandas(run, schema)
+    return scan_groups(rows.select(*keys, index, value, "mu", "omega", "alpha", "beta", "h0", "eps0"), keys, index, start, step, schema)
 
 
 def next_variance(ret: Column, h: Column, mu: Column, omega: Column, alpha: Column, beta: Column) -> Column:
@@ -186,6 +190,9 @@ def qq_pairs(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     """Values by rank with their plotting position (i - 0.5) / n and the normal quantile there; ties go by ``order``."""
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     n = x.groupBy(*keys).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value, order))
-    x = x.withColumn("rank", rank).join(n, keys).withColumn("position", (F.col("rank") - 0.5) / F.col("n"))
+    # places on the value axis cut a key into pieces, whose sizes add up to the ranks
+    ends = x.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_z"))
+    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_a"), F.col("_z") - F.col("_a")) * QQ_PIECES), F.lit(0))
+    x = ranked(x.join(ends, keys).withColumn("_b", place), keys, "_b", [value, order])
+    x = x.withColumn("rank", F.col("_rank") + 1).join(n, keys).withColumn("position", (F.col("rank") - 0.5) / F.col("n"))
     return x.select(*keys, order, "rank", "position", normal_quantile("position").alias("theoretical"), F.col(value).alias("observed"))

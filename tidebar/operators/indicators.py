@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import blocked, by_group, last_known
+from ..scale import blocked, by_group, last_known, lookup_join
+from ..session import materialize
+from .multiselect import interpolated
 
 BLOCK = 8192
 #: Runs without volume that last so long count as a halt.
@@ -242,14 +244,18 @@ def finite(c: str) -> Column:
 STATS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
-def range_stats(df: DataFrame, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
-    """Count, span, mean, deviation (0 for one value), percentiles by linear interpolation and the share above 1 %."""
+def range_stats(df: DataFrame, keys: list[str], value: str, spread: str, ts: str = "ts") -> DataFrame:
+    """Count, span, mean, deviation (0 for one value), percentiles by linear interpolation and the share above 1 %.
+
+    Percentiles come from multi-select over ``spread`` (an id), so no task holds a key's values.
+    """
     x = df.where(finite(value))
     r = x.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min(ts).alias("start"), F.max(ts).alias("end"), F.avg(value).alias("mean"), F.coalesce(F.when(F.count("*") > 1, F.stddev_samp(value)), F.lit(0.0)).alias("std"), F.min(value).alias("min"),
-        F.percentile(value, F.array(*[F.lit(p) for p in STATS])).alias("_p"), F.max(value).alias("max"), F.count_if(F.col(value) > 0.01).alias("over_1pct"), F.avg((F.col(value) > 0.01).cast("double")).alias("share_over_1pct"),
+        F.max(value).alias("max"), F.count_if(F.col(value) > 0.01).alias("over_1pct"), F.avg((F.col(value) > 0.01).cast("double")).alias("share_over_1pct"),
     )
-    return r.select(*[c for c in r.columns if c != "_p"], *[F.get("_p", F.lit(i)).alias(f"p{int(p * 100):02d}") for i, p in enumerate(STATS)])
+    q = interpolated(x, keys, value, STATS, spread).drop("n").withColumnsRenamed({f"q{i}": f"p{int(p * 100):02d}" for i, p in enumerate(STATS)})
+    return r.join(q, keys)
 
 
 def as_metrics(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -258,17 +264,17 @@ def as_metrics(stats: DataFrame, keys: list[str]) -> DataFrame:
     return stats.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in rest])).alias("m")).select(*keys, "m.*")
 
 
-def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 120) -> DataFrame:
+def histogram(df: DataFrame, keys: list[str], value: str, spread: str, bins: int = 120) -> DataFrame:
     """Equal bins between the least and greatest value up to 1.05 times the 99.7th percentile: ``bin, lo, hi, n, clipped``.
 
     Where that percentile is not above zero the largest value stands for it; the bound is at least 1e-6. One value alone
     makes a bin of width one around it, as plotting does.
     """
     x = df.where(finite(value))
-    top = x.groupBy(*keys).agg(F.percentile(value, 0.997).alias("_p"), F.max(value).alias("_m"))
+    top = x.groupBy(*keys).agg(F.max(value).alias("_m")).join(interpolated(x, keys, value, [0.997], spread).withColumnRenamed("q0", "_p").drop("n"), keys)
     upper = F.greatest(F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.col("_m")) * 1.05, F.lit(1e-6))
     top = top.select(*keys, upper.alias("upper"))
-    x = x.join(top, keys)
+    x = lookup_join(x, materialize(top, "tops"), keys, "inner")
     kept = x.where(F.col(value) <= F.col("upper"))
     ends = kept.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
     lo = F.when(F.col("_a") == F.col("_b"), F.col("_a") - 0.5).otherwise(F.col("_a"))
@@ -276,5 +282,5 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 120) -> Da
     clipped = x.groupBy(*keys).agg(F.count_if(F.col(value) > F.col("upper")).alias("clipped"))
     ends = ends.select(*keys, lo.alias("_lo"), ((hi - lo) / bins).alias("_w"))
     bin_ = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_w")), F.lit(bins - 1))
-    n = kept.join(ends, keys).withColumn("bin", bin_).groupBy(*keys, "bin", "_lo", "_w").agg(F.count("*").alias("n"))
+    n = lookup_join(kept, ends, keys, "inner").withColumn("bin", bin_).groupBy(*keys, "bin", "_lo", "_w").agg(F.count("*").alias("n"))
     return n.join(clipped, keys).select(*keys, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lo"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("hi"), "n", "clipped")

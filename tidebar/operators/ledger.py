@@ -3,40 +3,46 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import lookup_join
+from ..scale import last_known, lookup_join, scan_groups
 
-#: Trades of under so many bars per step are the rule; range joins go through buckets of this many bars.
+#: Range joins of trades and bars go through buckets of so many bars.
 RANGE_BUCKET = 256
 
 
 def ledger(signals: DataFrame, keys: list[str], side: int = 1, capital: float = 100.0, commission: float = 0.0) -> DataFrame:
-    """Capital at every bar: ``keys, bar_idx, ts, holding_signal, execution, close_type, capital, percent``.
+    """Capital at every bar: ``keys, bar_idx, ts, holding_signal, execution, close_type, capital, percent,
+    peak`` (the highest capital so far).
 
     An entry costs the commission and is not marked to market; a position is marked at each close; an exit multiplies
     the capital by exit over entry (long) or entry over exit (short), which is ``percent``.
     """
-    schema = ", ".join(f"{k} {dict(signals.dtypes)[k]}" for k in keys) + ", bar_idx long, ts timestamp_ntz, holding_signal int, execution double, close_type int, capital double, percent double"
+    kinds = dict(signals.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", bar_idx long, ts timestamp_ntz, holding_signal int, execution double, close_type int, capital double, percent double, peak double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx", kind="stable")
-        s, e, c = (pdf[x].to_numpy(float) for x in ("holding_signal", "execution", "close"))
+    def start(_: pa.Table) -> dict:
+        return {"capital": capital, "cost": np.nan, "peak": -np.inf}
+
+    def step(state: dict, piece: pa.Table) -> pa.Table:
+        s, e, c, held = (piece[x].to_pandas().to_numpy(float) for x in ("holding_signal", "execution", "close", "have_holding"))
         opened = s == 1
-        cost = pd.Series(np.where(opened, e, np.nan)).ffill().to_numpy()
-        closed = (s == 0) & (pdf["have_holding"].to_numpy(float) == 1)
+        last = np.maximum.accumulate(np.where(opened, np.arange(len(s)), -1))
+        cost = np.where(last >= 0, e[np.maximum(last, 0)], state["cost"])
+        closed = (s == 0) & (held == 1)
         with np.errstate(all="ignore"):
-            gain = e / cost if side > 0 else cost / e
-            mark = c / cost if side > 0 else cost / c
-        k = capital * np.cumprod(np.where(opened, 1 - commission, np.where(closed, gain, 1.0)))
-        out = pdf[[*keys, "bar_idx", "ts", "holding_signal", "execution", "close_type"]].copy()
-        out["capital"] = np.where(s == 3, k * mark, k)
-        out["percent"] = pd.Series(np.where(closed, gain, np.nan), index=out.index).astype("Float64")
-        return out
+            gain, mark = (e / cost, c / cost) if side > 0 else (cost / e, cost / c)
+        k = np.cumprod(np.concatenate([[state["capital"]], np.where(opened, 1 - commission, np.where(closed, gain, 1.0))]))[1:]
+        shown = np.where(s == 3, k * mark, k)
+        peak = np.maximum.accumulate(np.concatenate([[state["peak"]], shown]))[1:]
+        state |= {"capital": float(k[-1]), "cost": float(cost[-1]), "peak": float(peak[-1])}
+        out = {n: piece[n] for n in (*keys, "bar_idx", "ts", "holding_signal", "execution", "close_type")}
+        return pa.table(out | {"capital": pa.array(shown), "percent": pa.array(gain, mask=~closed), "peak": pa.array(peak)})
 
-    return signals.select(*keys, "bar_idx", "ts", "holding_signal", "have_holding", "execution", "close_type", "close").groupBy(*keys).applyInPandas(run, schema)
+    x = signals.select(*keys, "bar_idx", "ts", "holding_signal", "have_holding", "execution", "close_type", "close")
+    return scan_groups(x, keys, "bar_idx", start, step, schema)
 
 
 def transactions(book: DataFrame, keys: list[str], side: int = 1) -> DataFrame:
@@ -116,8 +122,7 @@ def outcome_stats(book: DataFrame, keys: list[str], side: int = 1) -> DataFrame:
         F.max_by(F.struct("bar_idx", "capital"), F.struct(F.col("capital") * sign, -F.col("bar_idx"))).alias("_top"),
     )
     back = lookup_join(book, base.select(*keys, "_top"), keys).where(F.col("bar_idx") >= F.col("_top.bar_idx")).groupBy(*keys).agg(F.min(F.col("capital") * sign).alias("_low"))
-    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    worst = book.withColumn("_fall", F.max("capital").over(w) - F.col("capital")).groupBy(*keys).agg(F.max("_fall").alias("max_drawdown"))
+    worst = book.groupBy(*keys).agg(F.max(F.col("peak") - F.col("capital")).alias("max_drawdown"))
     x = base.join(back, keys).join(worst, keys)
     final = F.when(F.col("_tx") > 1, F.round("_last", 2)).otherwise(100.0)
     return x.select(*keys, final.alias("capital"), (F.col("_tx") / 2).alias("trade_num"), "closed_by_withdrawal", "closed_by_speed", F.col("_top.capital").alias("outcome_high"), (F.col("_top.capital") * sign - F.col("_low")).alias("biggest_back"), "max_drawdown")
@@ -126,9 +131,9 @@ def outcome_stats(book: DataFrame, keys: list[str], side: int = 1) -> DataFrame:
 def capital_anchors(book: DataFrame, keys: list[str]) -> DataFrame:
     """``anchor`` at each bar: capital of the last exit so far, the run's first capital before any."""
     first = book.groupBy(*keys).agg(F.min_by("capital", "bar_idx").alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    point = F.last(F.when(F.col("percent").isNotNull(), F.col("capital")), True).over(w)
-    return book.withColumn("_p", point).join(first, keys).select(*keys, "bar_idx", "ts", F.coalesce("_p", "_first").alias("anchor"))
+    x = book.withColumns({"_b": F.floor(F.col("bar_idx") / 8192), "_point": F.when(F.col("percent").isNotNull(), F.col("capital"))})
+    x = last_known(x, keys, "_b", ["bar_idx"], "_point", "_p")
+    return x.join(first, keys).select(*keys, "bar_idx", "ts", F.coalesce("_p", "_first").alias("anchor"))
 
 
 def observe(trade: DataFrame, bars: DataFrame, bar_keys: list[str], near: int, pad: int = 100) -> DataFrame:

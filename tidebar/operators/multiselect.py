@@ -78,7 +78,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds.get(n, pa.float64())) for n in names], names=names)
 
 
-def _answer(keys: list[str], probs: list[float]):
+def _place(p: float | tuple[float, str], n):
+    """Rank asked for among n values: the share p's, or for (p, "low" / "high") those around (n - 1) * p."""
+    if isinstance(p, tuple):
+        at = (n - 1) * p[0]
+        return (F.floor(at + 1e-9) if p[1] == "low" else F.ceil(at - 1e-9)) + 1 if isinstance(n, Column) else (math.floor(at + 1e-9) if p[1] == "low" else math.ceil(at - 1e-9)) + 1
+    if isinstance(n, Column):
+        return F.greatest(F.ceil(F.lit(p) * n - 1e-9), F.lit(1))
+    return max(math.ceil(p * n - 1e-9), 1)
+
+
+def _answer(keys: list[str], probs: list):
     """Direct selection in chunks that hold their whole group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +99,7 @@ def _answer(keys: list[str], probs: list[float]):
             for i in range(batch.num_rows):
                 cum = np.cumsum(w[at[i] : at[i + 1]])
                 for j, p in enumerate(probs):
-                    k = max(np.ceil(p * n[i] - 1e-9), 1.0)
+                    k = _place(p, float(n[i]))
                     out[j, i] = v[at[i] + min(np.searchsorted(cum, k - 1e-9), len(cum) - 1)]
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], batch["n"], *map(pa.array, out)], names=[*keys, "n", *[f"q{j}" for j in range(len(probs))]])
 
@@ -121,15 +131,16 @@ def _gather(df: DataFrame, by: list[str], sides: tuple[str, ...], sums: tuple[st
     return level(x, by)
 
 
-def multi_select(df: DataFrame, keys: list[str], value: str, probs: list[float], spread: str, weight: str | None = None) -> DataFrame:
+def multi_select(df: DataFrame, keys: list[str], value: str, probs: list, spread: str, weight: str | None = None) -> DataFrame:
     """``keys, n`` and ``q0, q1, ...``: for each prob p the smallest value with at least the share p of the group at or below it.
 
     ``n`` is the number (or weight) of finite values; nulls, NaN and infinities are left out, and a group without finite
     values has no row. Null keys form groups of their own. ``spread`` is a column that tells rows apart (an id); rows
-    that repeat count each time. An empty table gives an empty result.
+    that repeat count each time. An empty table gives an empty result. A prob may be ``(p, "low")`` or ``(p, "high")`` for
+    the values around the place (n - 1) * p.
     """
     chunks = materialize(_chunks(df, keys, value, weight, spread), "chunks")
-    rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("total") - 1e-9), F.lit(1)).cast("double")
+    rank = lambda p: _place(p, F.col("total")).cast("double")
     # a group held by one chunk is answered by that chunk
     single = chunks.where("chunks = 1").select(*keys, F.col("total").alias("n"), "vals", "w")
     kinds = {f.name: f.dataType.simpleString() for f in single.schema.fields}
@@ -209,3 +220,15 @@ def combine_summaries(summaries: DataFrame, keys: list[str], probs: list[float])
 def rank_error(n: int, error: float = 0.005) -> int:
     """Largest rank error of ``combine_summaries`` over n values."""
     return math.ceil(error * n)
+
+
+def interpolated(df: DataFrame, keys: list[str], value: str, probs: list[float], spread: str) -> DataFrame:
+    """``keys, n, q0, ...``: percentiles with linear interpolation between the two values around (n - 1) * p, exact."""
+    ends = multi_select(df, keys, value, [(p, side) for p in probs for side in ("low", "high")], spread)
+
+    def between(i: int, p: float) -> Column:
+        at = (F.col("n") - 1) * p
+        lo, hi = F.col(f"q{2 * i}"), F.col(f"q{2 * i + 1}")
+        return lo + (hi - lo) * (at - F.floor(at + 1e-9))
+
+    return ends.select(*keys, F.col("n").cast("long").alias("n"), *[between(i, p).alias(f"p{i}") for i, p in enumerate(probs)]).withColumnsRenamed({f"p{i}": f"q{i}" for i in range(len(probs))})

@@ -12,11 +12,10 @@ from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scale import by_group
+from ..scale import scan_groups
 from .indicators import first_peak, max_drawdown, rise
 
 
@@ -61,10 +60,11 @@ def minutes_to_bars_down(minutes: float, seconds: int) -> int:
     return int(minutes * 60 / seconds)
 
 
+#: The signal columns; dates have the type of the bars' times.
 SIGNAL = (
     "have_holding int, holding_signal int, execution double, close_type int, reset_reason string, withdrawal double, wd_per double, wd_signal int, increase double, inc_per double, inc_signal int, "
     "ana_inc double, a_inc_per double, total_inc double, t_inc_per double, total_inc_signal int, max_inc double, max_wd double, holding_wd double, hld_wd_per double, holding_wd_signal int, holding_inc double, "
-    "speed_close_signal int, period int, low_index long, high_index long, low_price double, high_price double, last_index long, new_opening_count int"
+    "speed_close_signal int, period int, low_index long, high_index long, low_price double, high_price double, last_index long, new_opening_count int, low_date {ts}, high_date {ts}"
 )
 COLUMNS = [c.split()[0] for c in SIGNAL.split(", ")]
 
@@ -119,6 +119,7 @@ class Machine:
         self.i = -1
         self.offset = 0
         self.bars: list[tuple[float, float, float, float]] = []
+        self.times: list = []
         self.holding = False
         self.fresh = False
         self.count = 0
@@ -139,14 +140,19 @@ class Machine:
         if self.holding or self.stage == 2:
             need = min(need, self.low)
         if need - self.offset > 4096:
-            del self.bars[: need - self.offset]
+            del self.bars[: need - self.offset], self.times[: need - self.offset]
             self.offset = need
 
-    def step(self, o: float, h: float, lo: float, c: float) -> dict:
+    def date_of(self, index: int | None):
+        """Time of an earlier bar; a bar's own time is not known yet while it is judged."""
+        return None if index is None or index >= self.i else self.times[index - self.offset]
+
+    def step(self, o: float, h: float, lo: float, c: float, ts: object = None) -> dict:
         self.i += 1
         row = dict.fromkeys(COLUMNS)
         row |= {"holding_signal": 0, "wd_signal": 0, "inc_signal": 0, "total_inc_signal": 0, "holding_wd_signal": 0, "speed_close_signal": 0}
         self.bars.append((o, h, lo, c) if self.side > 0 else (-o, -lo, -h, -c))
+        self.times.append(ts)
         row["have_holding"] = int(self.holding)
         if self.holding:
             self._hold(row)
@@ -155,6 +161,7 @@ class Machine:
         else:
             self._wait(row)
         row["last_index"], row["new_opening_count"] = self.last, self.count
+        row["low_date"], row["high_date"] = self.date_of(row["low_index"]), self.date_of(row["high_index"])
         self._forget()
         return row
 
@@ -322,8 +329,7 @@ def parameters(spark: SparkSession, sets: list[Params]) -> DataFrame:
 def run_strategy(bars: DataFrame, sets: list[Params], key: str = "symbol") -> DataFrame:
     """Signals of every bar under every parameter set: ``key, param_id, bar_idx, ts`` and the signal columns.
 
-    ``bars``: ``key, bar_idx, ts, open, high, low, close`` without null prices (drop faulty bars before). A bar keeps its
-    dates by position: ``low_date`` and ``high_date`` are null where they point at the bar itself, whose time is not
+    ``bars``: ``key, bar_idx, ts, open, high, low, close`` without null prices (drop faulty bars before). ``low_date`` and ``high_date`` are null where they point at the bar itself, whose time is not
     known yet when they are written. Sets are broadcast, being given as a list.
     """
     spark = bars.sparkSession
@@ -333,21 +339,17 @@ def run_strategy(bars: DataFrame, sets: list[Params], key: str = "symbol") -> Da
     x = bars.select(F.col(key).alias("_key"), "bar_idx", "ts", "open", "high", "low", "close").withColumn("param_id", ids)
     if not by_id:
         x = x.limit(0)
-    schema = f"{key} {kind}, param_id long, bar_idx long, ts timestamp_ntz, close double, low_date timestamp_ntz, high_date timestamp_ntz, {SIGNAL}"
-    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    schema = f"_key {kind}, param_id long, bar_idx long, ts timestamp_ntz, close double, {SIGNAL.format(ts='timestamp_ntz')}"
+    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "{ts}": pa.timestamp("us")}
     types = [arrow[c.split()[1]] for c in SIGNAL.split(", ")]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bar_idx").combine_chunks()
-        machine = Machine(by_id[table["param_id"][0].as_py()])
-        bars = zip(*(table[c].to_pylist() for c in ("open", "high", "low", "close")))
+    def start(piece: pa.Table) -> Machine:
+        return Machine(by_id[piece["param_id"][0].as_py()])
+
+    def step(machine: Machine, piece: pa.Table) -> pa.Table:
+        bars = zip(*(piece[c].to_pylist() for c in ("open", "high", "low", "close", "ts")))
         rows = [tuple(machine.step(*b).values()) for b in bars]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-        out = {key: table["_key"], "param_id": table["param_id"], "bar_idx": table["bar_idx"], "ts": table["ts"], "close": table["close"]}
-        ts, here = table["ts"].combine_chunks(), pa.array(range(len(rows)), pa.int64())
-        for name in ("low", "high"):
-            at = columns[COLUMNS.index(f"{name}_index")]
-            out[f"{name}_date"] = pc.take(ts, pc.if_else(pc.less(at, here), at, None))
-        return pa.table(out | dict(zip(COLUMNS, columns)))
-
-    return by_group(x, "_key", "param_id").groupBy("_key", "param_id").applyInArrow(run, schema)
+        signals = {c: pa.array(v, t) for c, v, t in zip(COLUMNS, zip(*rows), types)}
+        return pa.table({c: piece[c] for c in ("_key", "param_id", "bar_idx", "ts", "close")} | signals)
+
+    return scan_groups(x, ["_key", "param_id"], "bar_idx", start, step, schema).withColumnRenamed("_key", key)

@@ -289,7 +289,7 @@ _STATS = ", ".join(f"round(quantile_cont(v, {p}), 12) as p{int(p * 100):02d}" fo
 @query(f"""with v as (select symbol, rrv_up as v, bar_date as ts from signal_rrv where isfinite(rrv_up)) select symbol, count(*) as n, min(ts) as "start", max(ts) as "end", round(avg(v), 9) as mean, round(case when count(*) > 1 then stddev_samp(v) else 0 end, 9) as std, min(v) as "min", max(v) as "max",
 count(*) filter (v > 0.01) as over_1pct, avg((v > 0.01)::int::double) as share_over_1pct, {_STATS} from v group by symbol""")
 def rrv_stats(spark, d):
-    x = I.range_stats(table(spark, d, "signal_rrv"), ["symbol"], "rrv_up", "bar_date")
+    x = I.range_stats(table(spark, d, "signal_rrv"), ["symbol"], "rrv_up", "signal_id", "bar_date")
     return rounded(rounded(x, "mean", "std"), *[f"p{int(p * 100):02d}" for p in I.STATS], n=12)
 
 
@@ -299,7 +299,7 @@ w as (select series_id, case when a = b then a - 0.5 else a end as lo, ((case wh
 c as (select series_id, count(*) filter (v > u) as clipped from k group by series_id)
 select series_id, least(floor((v - lo) / w), 119)::bigint as bin, count(*) as n, any_value(clipped) as clipped from k join w using (series_id) join c using (series_id) where v <= u group by all""")
 def rrv_histogram(spark, d):
-    return I.histogram(table(spark, d, "signal_rrv"), KEY, "rrv_down").select("series_id", "bin", "n", "clipped")
+    return I.histogram(table(spark, d, "signal_rrv"), KEY, "rrv_down", "signal_id").select("series_id", "bin", "n", "clipped")
 
 
 _FOLDS = f"""{_CB}, w as (select series_id, bar_idx, list(open) over w as o, list(high) over w as h, list(low) over w as l, list(close) over w as c, count(open) over w as n1, count(high) over w as n2, count(low) over w as n3, count(close) over w as n4

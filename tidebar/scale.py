@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +96,32 @@ def by_group(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def scan_groups(df: DataFrame, keys: list[str], order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Ordered scan of each key: ``step(state, table) -> table`` on consecutive pieces, ``start(table)`` makes the state.
+
+    Each task goes through its sorted rows batch by batch and keeps only the state, so a key of any length fits in memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            change = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                column = table[k].combine_chunks()
+                same = pc.fill_null(pc.equal(column[1:], column[:-1]), False)
+                nulls = pc.and_(pc.is_null(column[1:]), pc.is_null(column[:-1]))
+                change[1:] |= ~pc.or_(same, nulls).to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                piece = table.slice(a, b - a)
+                key = tuple(piece[k][0].as_py() for k in keys)
+                if key != current:
+                    state, current = start(piece), key
+                yield from step(state, piece).combine_chunks().to_batches()
+
+    return by_group(df, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

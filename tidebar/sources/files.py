@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.quality import detect_roles, try_number
+from ..scale import lookup_join
 
 BAR_NAMES = ["Date", "c1", "c2", "c3", "c4", "vol"]
 KLINE_NAMES = ["datetime", "open", "high", "low", "close", "volume"]
@@ -83,7 +84,7 @@ def read_ticks_csv(spark: SparkSession, path: str, sep: str | None = None) -> Da
     x = x.where("c5 is null").drop("c5")
     two = F.coalesce(F.trim("c0").rlike(r"^\d{8}$") & F.trim("c1").rlike(r"^\d{6,9}$"), F.lit(False))
     vote = x.groupBy("file").agg((F.avg(two.cast("double")) > 0.8).alias("five"))
-    x = x.join(F.broadcast(vote), "file")  # one row per file
+    x = lookup_join(x, vote, ["file"], "inner")
     pick = lambda five, four: F.when(F.col("five"), five).otherwise(four)
     return x.select("file", "seq", pick(F.concat_ws(" ", "c0", "c1"), F.col("c0")).alias("dt"), pick(F.col("c2"), F.col("c1")).alias("bid"), pick(F.col("c3"), F.col("c2")).alias("ask"), pick(F.col("c4"), F.col("c3")).alias("vol"))
 

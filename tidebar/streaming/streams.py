@@ -34,18 +34,20 @@ def stream_strategy(bars: DataFrame, params: Params) -> DataFrame:
     The machine's state is kept per symbol between batches; within a batch bars go in order of time, so a batch must not
     hold bars older than those of earlier ones (bars in append mode behind a watermark don't).
     """
-    schema = f"symbol string, ts timestamp, bar_idx long, close double, {SIGNAL}"
+    schema = f"symbol string, ts timestamp, bar_idx long, close double, {SIGNAL.format(ts='timestamp')}"
     start = cloudpickle.dumps(Machine(params))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = pickle.loads(state.get[0] if state.exists else start)
         batch = pd.concat(list(frames)).sort_values("ts", kind="stable")
         first = machine.i + 1
-        rows = [machine.step(*b) for b in zip(*(batch[c].tolist() for c in ("open", "high", "low", "close")))]
+        rows = [machine.step(*b) for b in zip(*(batch[c].tolist() for c in ("open", "high", "low", "close", "ts")))]
         state.update((cloudpickle.dumps(machine),))
         out = pd.DataFrame(rows, columns=COLUMNS)
         for c in COLUMNS:
-            if c != "reset_reason":
+            if c.endswith("_date"):
+                out[c] = pd.to_datetime(out[c])
+            elif c != "reset_reason":
                 out[c] = pd.to_numeric(out[c]).astype("Int64" if f"{c} int" in SIGNAL or f"{c} long" in SIGNAL else "Float64")
         out.insert(0, "symbol", key[0])
         out.insert(1, "ts", batch["ts"].to_numpy())
