@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..scale import by_group, ranked, scan_groups
+from ..session import materialize
+from .indicators import forward_variance
 
 FLOOR = 1e-18
 QQ_PIECES = 1000
@@ -196,3 +198,23 @@ def qq_pairs(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     x = ranked(x.join(ends, keys).withColumn("_b", place), keys, "_b", [value, order])
     x = x.withColumn("rank", F.col("_rank") + 1).join(n, keys).withColumn("position", (F.col("rank") - 0.5) / F.col("n"))
     return x.select(*keys, order, "rank", "position", normal_quantile("position").alias("theoretical"), F.col(value).alias("observed"))
+
+
+def validate_forecast(returns: DataFrame, keys: list[str], index: str, horizon: int = 240, seconds: int | None = None, train_ratio: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(evaluated rows, report) of a fit on the first part of each key's returns, tested on the rest.
+
+    ``returns`` has ``keys, index, ret`` (numbered without gaps, already scaled). The horizon is brought to an hour where
+    the bar length says so. Realised variance runs over the whole sample and is taken on the test part.
+    """
+    horizon = horizon_for_hour(horizon, seconds) if seconds else horizon
+    rows = split_rows(returns, keys, index, train_ratio)
+    fit = materialize(garch_fit(rows.where("is_train"), keys, index), "fit")
+    test = rows.where("not is_train").join(fit.withColumnsRenamed({"h_last": "h0", "eps_last": "eps0"}).drop("n", "loglik"), keys)
+    h = conditional_variance(test, keys, index).join(fit.select(*keys, "mu", "omega", "alpha", "beta"), keys)
+    h1 = next_variance(F.col("ret"), F.col("h"), F.col("mu"), F.col("omega"), F.col("alpha"), F.col("beta"))
+    h = h.withColumn("h1", h1).withColumn("sigma2_hat", horizon_variance(F.col("h1"), horizon, F.col("omega"), F.col("alpha") + F.col("beta")))
+    rv = forward_variance(returns, keys, horizon, index).select(*keys, index, "rv")
+    evaluated = h.join(rv, [*keys, index], "left").where("rv is not null and sigma2_hat is not null")
+    evaluated = evaluated.select(*keys, index, "sigma2_hat", "rv", F.sqrt("sigma2_hat").alias("vol_hat"), F.sqrt("rv").alias("vol_real"))
+    scores = forecast_scores(evaluated, keys).join(fit.select(*keys, "mu", "omega", "alpha", "beta"), keys)
+    return evaluated, validity(scores, horizon, seconds)

@@ -159,6 +159,14 @@ def rolling_range_volatility(bars: DataFrame, keys: list[str], width: int) -> Da
     return _core(x.drop("_o", "_h", "_l"))
 
 
+def range_columns(mode: str) -> list[str]:
+    """Columns of a direction mode: up, down or both."""
+    modes = {"up": ["rrv_up"], "down": ["rrv_down"], "both": ["rrv_up", "rrv_down"]}
+    if mode not in modes:
+        raise ValueError(f"direction must be one of {sorted(modes)}, not {mode!r}")
+    return modes[mode]
+
+
 def time_deltas(bars: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """``delta_s``: seconds since the bar before."""
     x = blocked(bars, keys, "bar_idx", BLOCK, before=1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -580,6 +582,41 @@ def qq_positions(spark, d):
     return rounded(x.select("series_id", "ret_idx", F.col("rank").cast("long").alias("rank"), "position"), "position")
 
 
+@query(f"with recursive {_CHAIN}, f as (select series_id, arg_min(open, bar_idx) as f from gb group by series_id), m as (select series_id, entry_idx as bar_idx, 'long' as type, entry_price as price from tr union all select series_id, exit_idx, 'sell', exit_price from tr union all select series_id, e, 'long', cost from entries where x = 9223372036854775807) select m.series_id, bar_idx, type, price / f * 100 as y from m join f using (series_id)")
+def trade_markers(spark, d):
+    """Entries and exits on the scale of the first open as 100."""
+    bars, book = _book(spark, d, ALWAYS)
+    first = bars.groupBy("series_id").agg(F.min_by("open", "bar_idx").alias("_f"))
+    return L.transactions(book, RUN).join(first, "series_id").select("series_id", "bar_idx", "type", (F.col("price") / F.col("_f") * 100).alias("y"))
+
+
+@query()
+def mean_max_increase(spark, d):
+    """Mean of the largest rise of each finished or given-up stretch, per run."""
+    x = S.run_strategy(good_bars(spark, d), [LEGACY, LONG], "series_id")
+    return x.groupBy(*RUN).agg(F.avg("max_inc").alias("mean_max_inc"), F.count("max_inc").alias("stretches"))
+
+
+@query("select file_id, count(*) as lines from tick_line group by file_id")
+def line_counts(spark, d):
+    return table(spark, d, "tick_line").groupBy("file_id").agg(F.count("*").alias("lines"))
+
+
+@query(f"with recursive {_GARCH}, w as (select series_id, min(ret_idx) as a, max(ret_idx) as b from ev group by series_id) select kept.series_id, kept.ret_idx, kept.ts, round(sqrt(ev.sigma2_hat), 9) as vol_hat from kept join w on w.series_id = kept.series_id and kept.ret_idx between a and b left join ev on ev.series_id = kept.series_id and ev.ret_idx = kept.ret_idx")
+def garch_overview(spark, d):
+    """Evaluated values laid over the bars of their window."""
+    ev = _evaluated(spark, d).select("series_id", "ret_idx", F.sqrt("sigma2_hat").alias("vol_hat"))
+    window = ev.groupBy("series_id").agg(F.min("ret_idx").alias("_a"), F.max("ret_idx").alias("_b"))
+    x = _returns(spark, d).join(window, "series_id").where("ret_idx between _a and _b").join(ev, ["series_id", "ret_idx"], "left")
+    return rounded(x.select("series_id", "ret_idx", "ts", "vol_hat"), "vol_hat")
+
+
+@query()
+def garch_validation(spark, d):
+    """Fit, forecast and verdict for every series, an hour ahead."""
+    return G.validate_forecast(_returns(spark, d), KEY, "ret_idx", WIDTH, 300)[1]
+
+
 # --- files and streams ----------------------------------------------------------------------------------------------------
 
 
@@ -589,7 +626,7 @@ def csv_round_trip(spark, d):
     from ..session import work_dir
     from ..sources import files, sinks
 
-    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/bars-csv"
+    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/bars-{uuid.uuid4().hex}"
     bars = B.filled_bars(event_ticks(spark, d), BAR_S).select("ts", "low", "close", "high", "open", "volume")
     sinks.write_all_bars(bars, path)
     return files.read_bars_csv(spark, path).groupBy().agg(F.count("*").alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("high").alias("mean_high"))
@@ -609,7 +646,7 @@ def _streamed(spark, d, name, build):
 
     e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     ticks = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("px"), B.number_in(F.col("props")).alias("vol"))
-    out = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    out = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     q = build(ticks).writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/table")
@@ -621,3 +658,18 @@ def stream_bars(spark, d):
     from ..streaming.streams import stream_bars as bars
 
     return _streamed(spark, d, "stream-bars", lambda t: bars(t, BAR_S))
+
+
+@query()
+def stream_strategy_signals(spark, d):
+    """Signals of the long machine over a stream of bars, one file of the stream being one step of its time."""
+    from ..session import work_dir
+    from ..streaming.streams import stream_strategy
+
+    out = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    bars = good_bars(spark, d).select(F.col("series_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close")
+    bars.write.parquet(f"{out}/bars")
+    source = spark.readStream.schema(bars.schema).parquet(f"{out}/bars")
+    q = stream_strategy(source, LONG).writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("symbol", "ts", "bar_idx", "holding_signal", "execution", "close_type", "period")
