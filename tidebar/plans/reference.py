@@ -14,6 +14,7 @@ from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators import strategy as S
 from ..scale import ranked
+from ..session import materialize, work_dir
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -569,11 +570,11 @@ def garch_fit(spark, d):
 def standardised_residuals(spark, d):
     """Test residuals over the fitted conditional deviation, with their ranks against the normal law."""
     rows = G.split_rows(_returns(spark, d), KEY, "ret_idx")
-    fit = G.garch_fit(rows.where("is_train"), KEY, "ret_idx").withColumnsRenamed({"h_last": "h0", "eps_last": "eps0"})
+    fit = materialize(G.garch_fit(rows.where("is_train"), KEY, "ret_idx").withColumnsRenamed({"h_last": "h0", "eps_last": "eps0"}), "fit")
     test = rows.where("not is_train").join(fit.drop("n", "loglik"), KEY)
     h = G.conditional_variance(test, KEY, "ret_idx").join(fit.select(*KEY, "mu"), KEY)
     z = h.withColumn("z", (F.col("ret") - F.col("mu")) / F.sqrt("h")).select("series_id", "ret_idx", "z")
-    return G.qq_pairs(z, KEY, "z", "ret_idx")
+    return G.qq_pairs(materialize(z, "residuals"), KEY, "z", "ret_idx")
 
 
 @query(f"with {_RET}, n as (select series_id, count(*) as n from kept group by series_id) select series_id, ret_idx, row_number() over (partition by series_id order by ret, ret_idx) as rank, round((row_number() over (partition by series_id order by ret, ret_idx) - 0.5) / n, 9) as position from kept join n using (series_id)")
@@ -620,16 +621,15 @@ def garch_validation(spark, d):
 # --- files and streams ----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(_FILLED.replace("select symbol, ts, coalesce(open, c) as open, coalesce(high, c) as high, coalesce(low, c) as low, c as close, case when there then volume else 0.0 end as volume from f", "select count(*) as bars, min(ts) as first_ts, max(ts) as last_ts, round(avg(coalesce(high, c)), 6) as mean_high from f"))
 def csv_round_trip(spark, d):
     """Bars written without a header and read back by the readers that must find their layout."""
-    from ..session import work_dir
     from ..sources import files, sinks
 
     path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/bars-{uuid.uuid4().hex}"
     bars = B.filled_bars(event_ticks(spark, d), BAR_S).select("ts", "low", "close", "high", "open", "volume")
     sinks.write_all_bars(bars, path)
-    return files.read_bars_csv(spark, path).groupBy().agg(F.count("*").alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("high").alias("mean_high"))
+    return files.read_bars_csv(spark, path).groupBy().agg(F.count("*").alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), r(F.avg("high"), 6).alias("mean_high"))
 
 
 @query()
@@ -642,8 +642,6 @@ def file_catalog_search(spark, d):
 
 def _streamed(spark, d, name, build):
     """Run a stream over the events file to its end and give the table it filled."""
-    from ..session import work_dir
-
     e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     ticks = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("px"), B.number_in(F.col("props")).alias("vol"))
     out = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -652,18 +650,17 @@ def _streamed(spark, d, name, build):
     return spark.read.parquet(f"{out}/table")
 
 
-@query()
+@query(f"with {_TICKS}, {_TBARS} select symbol, bts as ts, open, high, low, close, vol_sum, tick_count from tbars where bts + interval 15 minutes <= (select max(ts) from ticks) - interval 10 minutes")
 def stream_bars(spark, d):
     """Bars of the event stream that its watermark has closed."""
     from ..streaming.streams import stream_bars as bars
 
-    return _streamed(spark, d, "stream-bars", lambda t: bars(t, BAR_S))
+    return _streamed(spark, d, "stream-bars", lambda t: bars(t, BAR_S)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query()
 def stream_strategy_signals(spark, d):
     """Signals of the long machine over a stream of bars, one file of the stream being one step of its time."""
-    from ..session import work_dir
     from ..streaming.streams import stream_strategy
 
     out = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"

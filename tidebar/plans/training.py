@@ -152,9 +152,56 @@ with x as (
 select level, key, measure, n, {", ".join(f"q[{i + 1}] as {n}" for i, n in enumerate(NAMES))} from q
 """
 
+_INSTANTS = r"""
+zones(tz_name, abbr, off) as (values ('America/New_York', 'EST', -5.0), ('America/New_York', 'EDT', -4.0), ('America/Chicago', 'CST', -6.0), ('America/Chicago', 'CDT', -5.0), ('Europe/London', 'GMT', 0.0), ('Europe/London', 'BST', 1.0),
+  ('Europe/Berlin', 'CET', 1.0), ('Europe/Berlin', 'CEST', 2.0), ('Asia/Tokyo', 'JST', 9.0), ('Asia/Kolkata', 'IST', 5.5), ('Australia/Sydney', 'AEST', 10.0), ('Australia/Sydney', 'AEDT', 11.0)),
+raw as (select 'tick' as origin, tick_id as row_id, feed_id, file_id, bid, dt as s from tick union all select 'kline', kline_id, feed_id, null, null, datetime from kline),
+txt as (select raw.* exclude (s), trim(s, ' ' || chr(9) || chr(10) || chr(13)) as s, tz_name, date_style from raw left join feed using (feed_id)),
+p as (select *,
+  regexp_extract(s, '^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(Z|[+-]\d{2}:?\d{2})?$', ['y', 'mo', 'd', 'h', 'mi', 'se', 'f', 'z']) as iso,
+  regexp_extract(s, '^(\d{4})(\d{2})(\d{2}) (\d{2})(\d{2})(\d{2})(\d{3})?$', ['y', 'mo', 'd', 'h', 'mi', 'se', 'f']) as com,
+  regexp_extract(s, '^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([AP])M)?$', ['a', 'b', 'y', 'h', 'mi', 'se', 'half']) as sla,
+  regexp_extract(s, '^(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{1,2}):(\d{2}):(\d{2}) ([A-Z]{2,5})$', ['d', 'mon', 'y', 'h', 'mi', 'se', 'z']) as nam from txt),
+q as (select origin, row_id, file_id, bid, tz_name, s,
+  case when iso.y <> '' then iso.z when nam.y <> '' then nam.z else '' end as z,
+  case when iso.y <> '' then iso.y when com.y <> '' then com.y when sla.y <> '' then sla.y when nam.y <> '' then nam.y end as y,
+  case when iso.y <> '' then iso.mo when com.y <> '' then com.mo when sla.y <> '' then case when date_style = 'mdy' then sla.a else sla.b end when nam.y <> '' then try_cast(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(nam.mon)) as varchar) end as mo,
+  case when iso.y <> '' then iso.d when com.y <> '' then com.d when sla.y <> '' then case when date_style = 'mdy' then sla.b else sla.a end when nam.y <> '' then nam.d end as d,
+  case when iso.y <> '' then iso.h when com.y <> '' then com.h when sla.y <> '' then case when sla.half = '' then sla.h when try_cast(sla.h as int) not between 1 and 12 then '99' else try_cast(try_cast(sla.h as int) % 12 + case when sla.half = 'P' then 12 else 0 end as varchar) end when nam.y <> '' then nam.h end as h,
+  case when iso.y <> '' then iso.mi when com.y <> '' then com.mi when sla.y <> '' then sla.mi when nam.y <> '' then nam.mi end as mi,
+  case when iso.y <> '' then iso.se when com.y <> '' then com.se when sla.y <> '' then sla.se when nam.y <> '' then nam.se end as se,
+  case when iso.y <> '' then iso.f when com.y <> '' then com.f else '' end as f from p),
+l as (select *, case when try_cast(h as int) <= 23 and try_cast(mi as int) <= 59 and coalesce(try_cast(se as int), 0) <= 59 then try_cast(y || '-' || lpad(mo, 2, '0') || '-' || lpad(d, 2, '0') || ' ' || lpad(h, 2, '0') || ':' || mi || ':' || case when se = '' then '00' else se end || '.' || rpad(substr(f, 1, 6), 6, '0') as timestamp) end as t from q),
+o as (select l.*, case when l.z in ('Z', 'UTC', 'GMT') then 0 when regexp_matches(l.z, '^[+-]') then try_cast(substr(l.z, 1, 1) || '1' as int) * (try_cast(substr(replace(l.z, ':', ''), 2, 2) as int) * 3600 + try_cast(substr(replace(l.z, ':', ''), 4, 2) as int) * 60) when l.z <> '' and regexp_matches(l.tz_name, '^[+-]') then try_cast(substr(l.tz_name, 1, 1) || '1' as int) * (try_cast(substr(l.tz_name, 2, 2) as int) * 3600 + try_cast(substr(l.tz_name, 5, 2) as int) * 60) when l.z <> '' then try_cast(zones.off * 3600 as int)
+    when l.tz_name = 'UTC' then 0 when regexp_matches(l.tz_name, '^[+-]') then try_cast(substr(l.tz_name, 1, 1) || '1' as int) * (try_cast(substr(l.tz_name, 2, 2) as int) * 3600 + try_cast(substr(l.tz_name, 5, 2) as int) * 60) end as off
+  from l left join zones on zones.tz_name = l.tz_name and zones.abbr = l.z),
+u as (select *, case when off is null and z = '' and t is not null and tz_name is not null then epoch_us(timezone(tz_name, t)) end as v from o),
+w as (select *, [x for x in [v - 7200000000, v - 3600000000, v, v + 3600000000, v + 7200000000] if timezone(tz_name, make_timestamptz(x)) = t] as found from u),
+inst as (select origin, row_id, file_id, bid, case when regexp_full_match(s, '\d{10}') then try_cast(s as bigint) * 1000000 when regexp_full_match(s, '\d{13}') then try_cast(s as bigint) * 1000 when regexp_full_match(s, '\d{16}') then try_cast(s as bigint)
+  when off is not null then epoch_us(t) - off::bigint * 1000000 when v is not null and len(found) = 1 then found[1] end as utc_us from w)
+"""
+
+_MINUTES = """m as (select file_id, utc_us // 60000000 as slot from inst where origin = 'tick' and utc_us is not null and bid > 0 and file_id is not null),
+sp as (select file_id, min(slot) as a, max(slot) as b from m group by file_id), g as (select file_id, unnest(generate_series(a, b)) as slot from sp)
+select 'tick' as origin, g.file_id as source_id, strftime(make_timestamp(g.slot * 60000000), '%Y-%m-%d %H:%M:%S') as slot from g left join (select distinct file_id, slot from m) h on h.file_id = g.file_id and h.slot = g.slot where h.slot is null"""
+
+_COMBINED = f"""
+with x as (
+  select 'series' as level, cast(series_id as varchar) as key, 'rrv_up' as measure, cast(bar_date as date) as day, rrv_up as value from signal_rrv union all select 'series', cast(series_id as varchar), 'rrv_down', cast(bar_date as date), rrv_down from signal_rrv
+  union all select 'symbol', symbol, 'rrv_up', cast(bar_date as date), rrv_up from signal_rrv union all select 'symbol', symbol, 'rrv_down', cast(bar_date as date), rrv_down from signal_rrv
+), r as (select *, row_number() over (partition by level, key, measure, day order by value) - 1 as rn, count(*) over (partition by level, key, measure, day) as n from x where isfinite(value)),
+s as (select *, cast(greatest(1, floor(n * 0.01)) as bigint) as step from r), k as (select *, rn // step as i from s),
+z as (select level, key, measure, value, least(step, n - i * step) as w from k where rn = i * step + (least(step, n - i * step) - 1) // 2),
+c as (select *, sum(w) over (partition by level, key, measure order by value rows unbounded preceding) as cum, sum(w) over (partition by level, key, measure) as total from z)
+select level, key, measure, cast(max(total) as bigint) as n, {", ".join(f"min(value) filter (where cum >= greatest(ceil({p} * total - 1e-9), 1)) as {n}" for p, n in zip(PROBS, NAMES))} from c group by level, key, measure
+"""
+
 SQL = {
     "p1_found": _P1 + "select line_id, reason from j where reason is not null",
     "p1_ticks": _P1 + "select line_id, b as bid, a as ask, v as vol from j where reason is null",
     "p3_bar_gaps": _GAPS,
+    "p3_found": f"with {_INSTANTS}, ticks_missing as (with {_MINUTES}), bars_missing as ({_GAPS}) select origin, source_id, slot from ticks_missing union all select 'bars', source_id, slot from bars_missing",
+    "p6_found": f"with {_INSTANTS} select origin, row_id, utc_us from inst where utc_us is not null",
+    "p5_combined": _COMBINED,
     "p5_percentiles": _PERCENTILES,
 }
