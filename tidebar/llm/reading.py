@@ -191,7 +191,9 @@ def fit(texts: list[str], target: np.ndarray, folds: int = 2) -> DocumentModel:
 def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DocumentModel | None:
     """Fit on at most ``limit`` graded English documents; several raters of one document are averaged. None without any."""
     marks = labels.where(f"doc_id is not null and grade between 1 and {GRADES}").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.avg((F.col("grade") == g).cast("double")).alias(f"g{g}") for g in range(1, GRADES + 1)])
-    graded = english(documents).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    # four labels for each wanted document, since some are of other languages or blank; so many may be broadcast
+    some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * limit)
+    graded = english(documents).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = graded.select("text", *[f"g{g}" for g in range(1, GRADES + 1)]).collect()
     if not rows:
         return None
