@@ -174,12 +174,10 @@ def flag_bars(bars: DataFrame) -> DataFrame:
     spread = spread.withColumn("core", F.col("_home") == F.col("block"))
     judged = by_group(lookup_join(spread, usual, ["series_id"]), "series_id", "block").groupBy("series_id", "block").applyInPandas(_block, _SCHEMA)
 
-    # copies take the state of the bar they repeat; only bars that have copies are looked up
+    # copies take the state of the bar they repeat; bars that have copies are looked up by a hash, then compared
     judged = materialize(judged, "judged")
-    twins = bars_in_order.where("copies > 1").select(*keys, F.col("bar_id").alias("first_id")).join(judged.withColumnRenamed("bar_id", "first_id"), "first_id")
-    a, b = x.alias("a"), twins.alias("b")
-    same = F.col("a.bar_id") != F.col("b.first_id")
-    for k in keys:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    copies = a.join(b, same).select("a.bar_id", "state", "p_spike", "p_stuck", "z")
-    return judged.unionByName(copies)
+    same = F.xxhash64(*keys)
+    twins = bars_in_order.where("copies > 1").select(same.alias("_k"), F.struct(*keys).alias("_bar"), F.col("bar_id").alias("_first")).join(judged.withColumnRenamed("bar_id", "_first"), "_first")
+    copies = lookup_join(x.select("bar_id", same.alias("_k"), F.struct(*keys).alias("_own")), materialize(twins, "twins"), ["_k"], "inner")
+    copies = copies.where(F.col("_own").eqNullSafe(F.col("_bar")) & (F.col("bar_id") != F.col("_first")))
+    return judged.unionByName(copies.select(*judged.columns))
