@@ -147,6 +147,8 @@ def multi_select(df: DataFrame, keys: list[str], value: str, probs: list, spread
     found = single.mapInArrow(_answer(keys, probs), ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "n"]) + "".join(f", q{i} double" for i in range(len(probs))))
 
     many = chunks.where("chunks > 1")
+    if many.isEmpty():
+        return found
     groups = many.groupBy("gid").agg(F.first("total").alias("total"), *[F.first(k).alias(k) for k in keys])
     first = _gather(many.select("gid", "chunk", F.get("vals", (F.size("vals") / 2).cast("int")).alias("med_a"), F.size("vals").cast("double").alias("n_a")), ["gid"], ("a",), ())
     state = groups.select("gid", "total").join(first.select("gid", F.col("med_a").alias("pivot")), "gid")

@@ -33,8 +33,8 @@ class Params:
     close_threshold: float = 0.001
     close_withdrawal: float = 0.0013
     precision: int = 5
-    #: ``reference``: a bar that resets for lack of speed and opens at once has no anchor price; ``skip``: it doesn't open.
-    zero_anchor: str = "reference"
+    #: A bar that resets for lack of speed and opens at once has no anchor price: it opens all the same, or not (``skip``).
+    zero_anchor: str = "open"
 
     def usable(self) -> bool:
         """Thresholds fit together; other sets are passed over in a sweep."""
