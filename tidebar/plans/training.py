@@ -46,7 +46,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
     ticks, bars = _p3(spark, d)
     both = ticks.withColumn("origin", F.lit("tick")).unionByName(bars.withColumn("origin", F.lit("bars")))
-    return both.select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"), "value", "filled")
+    return both.select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"), "value", "filled", "settled")
 
 
 def p3_bar_gaps(spark: SparkSession, d: str) -> DataFrame:
