@@ -52,3 +52,33 @@ def test_quantiles(spark):
     x = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([3, 1, 2])], "k int, i int, v double")
     q = G.qq_pairs(x, ["k"], "v", "i").orderBy("rank").collect()
     assert [r.observed for r in q] == [1, 2, 3] and abs(q[1].theoretical) < 1e-12 and abs(q[0].theoretical + q[2].theoretical) < 1e-12
+
+
+def test_every_series_is_forecast_an_hour_ahead(spark, small):
+    import __spark_entry__ as entry
+
+    period = {r.series_id: r.period_s for r in spark.read.parquet(f"{small}/series.parquet").collect()}
+    got = entry.queries()["garch_validation"](spark, small).collect()
+    assert got and all(r.horizon == 3600 // period[r.series_id] for r in got)
+
+
+def test_realised_variance_has_the_horizon_of_its_series(spark):
+    rng = np.random.default_rng(8)
+    seconds = {1: 900.0, 2: 300.0, 3: 86_400.0, 4: None}
+    ret = {k: rng.normal(0, 1, 120) for k in seconds}
+    rows = spark.createDataFrame([(k, i, float(v)) for k in seconds for i, v in enumerate(ret[k])], "k int, i long, ret double")
+    spans = {1: 4, 2: 12, 3: 1, 4: 12}
+    rows = rows.unionByName(spark.createDataFrame([(5, i, float(i % 3)) for i in range(30)], "k int, i long, ret double"))
+    evaluated, report = G.validate_forecast(rows, ["k"], "i", 12, spark.createDataFrame(list(seconds.items()), "k int, seconds double"))
+    for r in evaluated.collect():
+        assert abs(r.rv - np.sum(ret[r.k][r.i + 1 : r.i + 1 + spans[r.k]] ** 2)) < 1e-9
+    got = {r.k: r for r in report.collect()}
+    short = got.pop(5)  # ten test rows, fewer than its horizon
+    assert short.n == 0 and not short.valid and "few_rows" in short.reasons
+    assert {k: r.horizon for k, r in got.items()} == spans
+    assert {k: r.n for k, r in got.items()} == {k: 36 - h for k, h in spans.items()}
+
+
+def test_fit_far_out_is_bounded():
+    f = G.fit_one(np.random.default_rng(78).uniform(-1, 1, 60))
+    assert np.isfinite(f["loglik"]) and f["alpha"] + f["beta"] < 1

@@ -95,8 +95,8 @@ def fit_one(r: np.ndarray, rounds: int = 400) -> dict[str, float]:
             else:
                 best = simplex[0][2]
                 simplex = [simplex[0], *[(value(q), 0, q) for q in (best + 0.5 * (p - best) for _, _, p in simplex[1:])]]
-    best = min(simplex, key=lambda x: x[0])[2]
-    mu, omega, alpha, beta = _unpack(np.clip(best, -30, 30), r)
+    best = np.clip(min(simplex, key=lambda x: x[0])[2], -30, 30)
+    mu, omega, alpha, beta = _unpack(best, r)
     h, e = variance_path_from(r, mu, omega, alpha, beta)
     return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "h_last": float(h[-1]), "eps_last": float(e[-1]), "loglik": -_loglik(best, r)[0], "n": len(r)}
 
@@ -136,9 +136,9 @@ def next_variance(ret: Column, h: Column, mu: Column, omega: Column, alpha: Colu
     return omega + alpha * (ret - mu) * (ret - mu) + beta * h
 
 
-def horizon_variance(h1: Column, horizon: int, omega: Column, g: Column) -> Column:
+def horizon_variance(h1: Column, horizon: int | Column, omega: Column, g: Column) -> Column:
     """Sum of the expected variances of the next ``horizon`` steps; g is alpha + beta."""
-    if horizon <= 0:
+    if not isinstance(horizon, Column) and horizon <= 0:
         raise ValueError("the horizon must be a positive number of bars")
     a = (1 - F.pow(g, F.lit(horizon))) / (1 - g)
     return F.when(F.abs(1 - g) < 1e-10, horizon * h1 + omega * (horizon * (horizon - 1) / 2)).otherwise(omega / (1 - g) * (horizon - a) + h1 * a)
@@ -161,21 +161,26 @@ def forecast_scores(evaluated: DataFrame, keys: list[str], predicted: str = "sig
     return s.withColumns({"p_value": p_value, "ratio": F.when(F.col("mean_rv") > 0, F.col("mean_pred") / F.col("mean_rv"))}).drop("_sse0", "_syy")
 
 
-def validity(scores: DataFrame, horizon: int, seconds: int | None) -> DataFrame:
+def validity(scores: DataFrame, horizon: int | Column, seconds: float | Column | None) -> DataFrame:
     """``reasons`` against a forecast (needs n, qlike, omega, alpha, beta, mean_pred, mean_rv) and ``valid``."""
     g = F.col("alpha") + F.col("beta")
-    expected = round(3600 / seconds) if seconds else None
-    off = F.lit(expected is not None and abs(horizon - expected) > 1)
+    horizon = F.lit(horizon)
+    off = F.coalesce(F.abs(horizon - hour_bars(seconds)) > 1, F.lit(False))
     good_means = (F.col("mean_rv") > 0) & (F.abs("mean_rv") < float("inf")) & (F.abs("mean_pred") < float("inf"))
     ratio = F.col("mean_pred") / F.col("mean_rv")
     checks = [
-        ("horizon", off), ("few_rows", F.col("n") < max(LEAST_ROWS, 2 * horizon)), ("qlike", ~F.coalesce(F.abs("qlike") < float("inf"), F.lit(False))), ("omega", ~F.coalesce(F.col("omega") > 0, F.lit(False))),
+        ("horizon", off), ("few_rows", F.col("n") < F.greatest(F.lit(LEAST_ROWS), 2 * horizon)), ("qlike", ~F.coalesce(F.abs("qlike") < float("inf"), F.lit(False))), ("omega", ~F.coalesce(F.col("omega") > 0, F.lit(False))),
         ("negative", (F.col("alpha") < 0) | (F.col("beta") < 0)), ("unstable", g >= 1), ("ratio", F.coalesce(good_means & ((ratio < RATIO_LOW) | (ratio > RATIO_HIGH)), F.lit(False))), ("means", ~F.coalesce(good_means, F.lit(False))),
     ]
     reasons = F.array_compact(F.array(*[F.when(c, name) for name, c in checks]))
     return scores.withColumn("reasons", F.array_join(reasons, ",")).withColumn("valid", F.col("reasons") == "")
 
 
+def hour_bars(seconds: float | Column | None) -> Column:
+    """Bars of an hour, null where the bar length is unknown; ties go to the even number as in Python."""
+    return F.bround(F.try_divide(F.lit(3600.0), F.lit(seconds).cast("double"))).cast("int")
+
+
 def horizon_for_hour(horizon: int, seconds: int) -> int:
     """The horizon, or the bars of an hour where it is off by more than one."""
     expected = round(3600 / seconds)
@@ -200,21 +205,38 @@ def qq_pairs(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     return x.select(*keys, order, "rank", "position", normal_quantile("position").alias("theoretical"), F.col(value).alias("observed"))
 
 
-def validate_forecast(returns: DataFrame, keys: list[str], index: str, horizon: int = 240, seconds: int | None = None, train_ratio: float = 0.7) -> tuple[DataFrame, DataFrame]:
+def hour_horizons(returns: DataFrame, keys: list[str], horizon: int, seconds: float | DataFrame | None) -> DataFrame:
+    """``keys, seconds, horizon``: the horizon of each key, at least one bar, by ``horizon_for_hour`` where its bar length is known."""
+    known = returns.select(*keys).distinct()
+    if isinstance(seconds, DataFrame):
+        known = known.join(seconds.select(*keys, F.col("seconds").cast("double").alias("seconds")), keys, "left")
+    else:
+        known = known.withColumn("seconds", F.lit(seconds).cast("double"))
+    expected = hour_bars(F.col("seconds"))
+    return known.withColumn("horizon", F.when(F.abs(horizon - expected) > 1, F.greatest(expected, F.lit(1))).otherwise(horizon))
+
+
+def validate_forecast(returns: DataFrame, keys: list[str], index: str, horizon: int = 240, seconds: float | DataFrame | None = None, train_ratio: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(evaluated rows, report) of a fit on the first part of each key's returns, tested on the rest.
 
-    ``returns`` has ``keys, index, ret`` (numbered without gaps, already scaled). The horizon is brought to an hour where
-    the bar length says so. Realised variance runs over the whole sample and is taken on the test part.
+    ``returns`` has ``keys, index, ret`` (numbered without gaps, already scaled); ``seconds`` is the bar length, one for all
+    or a table ``keys, seconds``. Each key's horizon is brought to an hour where its bar length says so, and is in the
+    report. Realised variance runs over the whole sample, once per distinct horizon, and is taken on the test part.
     """
-    horizon = horizon_for_hour(horizon, seconds) if seconds else horizon
+    returns = materialize(returns, "returns")
+    spans = materialize(hour_horizons(returns, keys, horizon, seconds), "horizons")
     rows = split_rows(returns, keys, index, train_ratio)
     fit = materialize(garch_fit(rows.where("is_train"), keys, index), "fit")
     test = rows.where("not is_train").join(fit.withColumnsRenamed({"h_last": "h0", "eps_last": "eps0"}).drop("n", "loglik"), keys)
-    h = conditional_variance(test, keys, index).join(fit.select(*keys, "mu", "omega", "alpha", "beta"), keys)
+    h = conditional_variance(test, keys, index).join(fit.select(*keys, "mu", "omega", "alpha", "beta"), keys).join(spans, keys)
     h1 = next_variance(F.col("ret"), F.col("h"), F.col("mu"), F.col("omega"), F.col("alpha"), F.col("beta"))
-    h = h.withColumn("h1", h1).withColumn("sigma2_hat", horizon_variance(F.col("h1"), horizon, F.col("omega"), F.col("alpha") + F.col("beta")))
-    rv = forward_variance(returns, keys, horizon, index).select(*keys, index, "rv")
+    h = h.withColumn("h1", h1).withColumn("sigma2_hat", horizon_variance(F.col("h1"), F.col("horizon"), F.col("omega"), F.col("alpha") + F.col("beta")))
+    rv = None
+    for n in sorted(r[0] for r in spans.select("horizon").distinct().collect()) or [horizon]:
+        part = forward_variance(returns.join(spans.where(F.col("horizon") == n).select(*keys), keys, "left_semi"), keys, n, index).select(*keys, index, "rv")
+        rv = part if rv is None else rv.unionByName(part)
     evaluated = h.join(rv, [*keys, index], "left").where("rv is not null and sigma2_hat is not null")
     evaluated = evaluated.select(*keys, index, "sigma2_hat", "rv", F.sqrt("sigma2_hat").alias("vol_hat"), F.sqrt("rv").alias("vol_real"))
-    scores = forecast_scores(evaluated, keys).join(fit.select(*keys, "mu", "omega", "alpha", "beta"), keys)
-    return evaluated, validity(scores, horizon, seconds)
+    # a key that could not be fitted, or whose test part is no longer than its horizon, gets its verdict too
+    scores = spans.join(forecast_scores(evaluated, keys), keys, "left").join(fit.select(*keys, "mu", "omega", "alpha", "beta"), keys, "left").fillna(0, ["n"])
+    return evaluated, validity(scores, F.col("horizon"), F.col("seconds"))

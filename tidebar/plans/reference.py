@@ -615,7 +615,8 @@ def garch_overview(spark, d):
 @query()
 def garch_validation(spark, d):
     """Fit, forecast and verdict for every series, an hour ahead."""
-    return G.validate_forecast(_returns(spark, d), KEY, "ret_idx", WIDTH, 300)[1]
+    seconds = Q.all_period(I.time_deltas(clean_bars(spark, d), KEY), KEY)
+    return G.validate_forecast(_returns(spark, d), KEY, "ret_idx", WIDTH, seconds)[1]
 
 
 # --- files and streams ----------------------------------------------------------------------------------------------------
