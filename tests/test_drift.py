@@ -19,6 +19,25 @@ def test_nested():
     assert ("renamed", "quote", "q") in script(old, [("q.bid", "decimal"), ("q.ask", "decimal"), ("id", "integer")])
 
 
+def test_wide_leftovers_are_paired_at_least_cost():
+    from functools import lru_cache
+    from random import Random
+
+    from tidebar.operators.drift import _likeness
+
+    for seed in range(20):
+        names = Random(seed)
+        old, new = ([side + "".join(names.choice("abcd") for _ in range(7)) for _ in range(9)] for side in "xy")
+        pair = lambda i, j: 1 + 0.05 * (i != j) + 0.1 * (1 - _likeness(old[i], new[j]))  # noqa: E731, B023
+
+        @lru_cache(None)
+        def best(i, used):
+            return min((pair(i, j) + best(i + 1, used | 1 << j) for j in range(9) if not used >> j & 1), default=0.0)  # noqa: B023
+
+        cost, changes = edit_script(tree([(n, "decimal") for n in old]), tree([(n, "decimal") for n in new]))
+        assert len(changes) == 9 and abs(cost - best(0, 0)) < 1e-9
+
+
 def files(spark, sets, extra=""):
     f, lines, n = [], [], 0
     for i, (day, rows) in enumerate(sets):

@@ -7,8 +7,7 @@ changes; the scripts, chained from a stream's first file on, give each file the
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +76,37 @@ def _likeness(a: str, b: str) -> float:
     return 2 * len(x & y) / max(1, len(x) + len(y))
 
 
+def assign(costs: np.ndarray) -> list[int]:
+    """Column of each row in the assignment of least total cost (Hungarian algorithm); there are at least as many columns as rows."""
+    rows, columns = costs.shape
+    u, v = np.zeros(rows + 1), np.zeros(columns + 1)
+    owner, way = np.zeros(columns + 1, int), np.zeros(columns + 1, int)
+    for i in range(1, rows + 1):
+        owner[0], at = i, 0
+        least, used = np.full(columns + 1, np.inf), np.zeros(columns + 1, bool)
+        while True:
+            used[at] = True
+            slack = np.concatenate([[np.inf], costs[owner[at] - 1] - u[owner[at]] - v[1:]])
+            better = ~used & (slack < least)
+            least[better], way[better] = slack[better], at
+            free = np.where(used, np.inf, least)
+            at = int(free.argmin())
+            step = free[at]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            if not owner[at]:
+                break
+        while at:
+            owner[at] = owner[way[at]]
+            at = int(way[at])
+    out = [0] * rows
+    for j in range(1, columns + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
 def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple[str, str, str]]]:
     """Cheapest script from one tree to another: (cost, [(change, old path, new path)]).
 
@@ -108,7 +138,7 @@ def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple
         moved = 0.0 if place_old[a] == place_new[b] else 0.05
         return RENAME + inner + MOVE + moved + 0.1 * (1 - _likeness(a, b))
 
-    # assignment by memoised search over the leftovers of each type, which keeps the state small
+    # assignment over the leftovers of each type
     groups: dict[str | None, tuple[list[str], list[str]]] = {}
     for side, names in enumerate((gone, come)):
         for n in names:
@@ -119,31 +149,9 @@ def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple
         target = max(groups, key=lambda g: sum(map(len, groups[g])), default=None)
         groups.setdefault(target, ([], []))[0 if k in loose[0] else 1].append(k)
     for left, right in groups.values():
-        if not left or not right:
-            pairs: list[tuple[str, str]] = []
-        elif min(len(left), len(right)) <= 8 and len(right) <= 14:
-
-            @lru_cache(None)
-            def best(i: int, used: int) -> tuple[float, tuple]:
-                if i == len(left):  # noqa: B023
-                    return 0.0, ()
-                c, rest = best(i + 1, used)  # noqa: B023
-                out = (c + DELETE, rest)
-                for j, b in enumerate(right):  # noqa: B023
-                    if not used >> j & 1:
-                        c, rest = best(i + 1, used | 1 << j)  # noqa: B023
-                        out = min(out, (c + pair(left[i], b) - ADD, ((left[i], b), *rest)), key=lambda z: z[0])  # noqa: B023
-                return out
-
-            pairs = list(best(0, 0)[1])
-        else:  # very wide leftovers: closest names first
-            ranked = sorted((pair(a, b), a, b) for a in left for b in right)
-            seen: set = set()
-            pairs = []
-            for c, a, b in ranked:
-                if c < ADD + DELETE and ("o", a) not in seen and ("n", b) not in seen:
-                    seen |= {("o", a), ("n", b)}
-                    pairs.append((a, b))
+        # beside the new children, a column for each old one that is dropped
+        costs = np.array([[pair(a, b) - ADD for b in right] + [DELETE] * len(left) for a in left])
+        pairs = [(a, right[j]) for a, j in zip(left, assign(costs) if left else []) if j < len(right)]
         for a, b in pairs:
             cost += pair(a, b)
             script.append(("renamed", f"{path}{a}", f"{path}{b}"))
