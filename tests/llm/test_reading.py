@@ -40,3 +40,9 @@ def test_operator_edges(spark):
     assert grades[25] == 1 and grades[125] == 4
     assert R.grade_documents(d, labels.limit(0)).count() == 0 and R.grade_documents(d.limit(0), labels).count() == 0
     assert R.profile(R.grade_documents(d, labels)).count() >= 2
+
+
+def test_grams_of_the_whole_word():
+    word = "a" * 70
+    assert R.grams(word + "xyz") != R.grams(word + "uvw")
+    assert len(R.grams(word)) == 70 + 69

@@ -39,7 +39,7 @@ def sentences(text: str) -> list[list[str]]:
 
 def grams(word: str) -> list[int]:
     """Buckets of a word's character n-grams."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     return [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in N_GRAMS for i in range(max(0, len(w) - n + 1))]
 
 
