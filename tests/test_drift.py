@@ -19,6 +19,18 @@ def test_nested():
     assert ("renamed", "quote", "q") in script(old, [("q.bid", "decimal"), ("q.ask", "decimal"), ("id", "integer")])
 
 
+def test_moves(spark):
+    old = [("quote.bid", "decimal"), ("quote.ask", "decimal"), ("top.n", "integer")]
+    new = [("quote.ask", "decimal"), ("top.n", "integer"), ("top.bid", "decimal")]
+    assert script(old, new) == [("moved", "quote.bid", "top.bid")]
+    assert script(old, [*new[:2], ("top.bid", "text")]) == [("added", "top.bid", "top.bid"), ("removed", "quote.bid", "quote.bid")]
+    assert script([("quote.bid", "decimal"), ("n", "integer")], [("bid", "decimal"), ("n", "integer")]) == [("moved", "quote.bid", "bid"), ("removed", "quote", "quote")]
+    f, lines = files(spark, [("2025-01-01", ["quote.bid,quote.ask,top.n", "1.5,1.6,3"]), ("2025-01-02", ["quote.ask,top.n,top.bid", "1.7,4,1.6"])])
+    assert [(r.change_kind, r.field_name) for r in drift_changes(f, lines).collect()] == [("moved", "top.bid")]
+    rows = {r.line_id: r.fields for r in drift_table(f, lines).collect()}
+    assert rows[3] == {"quote.ask": "1.7", "top.n": "4", "quote.bid": "1.6"}
+
+
 def test_wide_leftovers_are_paired_at_least_cost():
     from functools import lru_cache
     from random import Random

@@ -18,7 +18,7 @@ from ..session import materialize
 SEPARATORS = [",", ";", "\t"]
 TYPES = ["integer", "decimal", "boolean", "timestamp", "text"]
 #: Costs of the edit script. A rename must be cheaper than a delete with an add, and keeps the kind of content.
-ADD, DELETE, RENAME, RETYPE, MOVE = 1.0, 1.0, 1.0, 0.4, 0.0
+ADD, DELETE, RENAME, RETYPE, MOVE = 1.0, 1.0, 1.0, 0.4, 1.0
 OTHER_CONTENT = 5.0
 
 _INTEGER = r"^[+-]?[0-9]+$"
@@ -107,8 +107,8 @@ def assign(costs: np.ndarray) -> list[int]:
     return out
 
 
-def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple[str, str, str]]]:
-    """Cheapest script from one tree to another: (cost, [(change, old path, new path)]).
+def _script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple[str, str, str]]]:
+    """Script between two trees whose fields stay under their parents: (cost, [(change, old path, new path)]).
 
     Children of the same name are paired first (order is no content). The rest is an assignment of leftover old to
     leftover new children: a pair of the same type is a rename, a pair of other content costs more than dropping both.
@@ -118,7 +118,7 @@ def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple
     for name in old.keys() & new.keys():
         a, b = old[name], new[name]
         if isinstance(a, dict) and isinstance(b, dict):
-            c, s = edit_script(a, b, f"{path}{name}.")
+            c, s = _script(a, b, f"{path}{name}.")
             cost, script = cost + c, script + s
         elif _kind(a) != _kind(b) and a is not None and b is not None:
             cost += RETYPE
@@ -130,13 +130,13 @@ def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple
     def pair(a: str, b: str) -> float:
         x, y = old[a], new[b]
         if isinstance(x, dict) and isinstance(y, dict):
-            inner = edit_script(x, y)[0]
+            inner = _script(x, y)[0]
         elif x is None or y is None or _kind(x) == _kind(y):
             inner = 0.0 if x is not None and y is not None else 0.5
         else:
             inner = OTHER_CONTENT
         moved = 0.0 if place_old[a] == place_new[b] else 0.05
-        return RENAME + inner + MOVE + moved + 0.1 * (1 - _likeness(a, b))
+        return RENAME + inner + moved + 0.1 * (1 - _likeness(a, b))
 
     # assignment over the leftovers of each type
     groups: dict[str | None, tuple[list[str], list[str]]] = {}
@@ -156,7 +156,7 @@ def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple
             cost += pair(a, b)
             script.append(("renamed", f"{path}{a}", f"{path}{b}"))
             if isinstance(old[a], dict) and isinstance(new[b], dict):
-                script += edit_script(old[a], new[b], f"{path}{b}.")[1]
+                script += _script(old[a], new[b], f"{path}{b}.")[1]
         for a in set(left) - {a for a, _ in pairs}:
             cost += DELETE * _size(old[a])
             script.append(("removed", f"{path}{a}", f"{path}{a}"))
@@ -166,6 +166,51 @@ def edit_script(old: dict, new: dict, path: str = "") -> tuple[float, list[tuple
     return cost, script
 
 
+def _leaves(node, path: str) -> dict[str, str | None]:
+    return {k: t for n, c in node.items() for k, t in _leaves(c, f"{path}.{n}").items()} if isinstance(node, dict) else {path: node}
+
+
+def _at(root: dict, path: str):
+    for n in path.split("."):
+        root = root[n]
+    return root
+
+
+def edit_script(old: dict, new: dict) -> tuple[float, list[tuple[str, str, str]]]:
+    """Cheapest script from one tree to another: (cost, [(change, old path, new path)]).
+
+    Fields that ``_script`` leaves removed and added, also within a struct that goes or comes, are moves where type and
+    last name agree. A struct that goes stays listed, without what moved out of it.
+    """
+    cost, script = _script(old, new)
+    renames = sorted(((b, a) for change, a, b in script if change == "renamed"), key=lambda x: -x[0].count("."))
+
+    def before(path: str) -> str:  # paths below a renamed struct are those of its new name
+        for b, a in renames:
+            if path.startswith(f"{b}."):
+                path = a + path[len(b) :]
+        return path
+
+    sides: dict[tuple, tuple[list, list]] = {}
+    for change, a, b in script:
+        if change in ("removed", "added"):
+            side, path = (0, before(a)) if change == "removed" else (1, b)
+            for leaf, kind in _leaves(_at((old, new)[side], path), path).items():
+                if kind is not None:
+                    sides.setdefault((leaf.rsplit(".", 1)[-1], kind), ([], []))[side].append((leaf, (change, a, b)))
+    for left, right in sides.values():
+        if not left or not right:
+            continue
+        costs = np.array([[MOVE + 0.1 * (1 - _likeness(a, b)) - ADD for b, _ in right] + [DELETE] * len(left) for a, _ in left])
+        for (a, x), j in zip(left, assign(costs)):
+            if j < len(right):
+                b, y = right[j]
+                cost += MOVE + 0.1 * (1 - _likeness(a, b)) - DELETE - ADD
+                script = [z for z in script if not (z == x and before(x[1]) == a) and not (z == y and y[2] == b)]
+                script.append(("moved", a, b))
+    return cost, script
+
+
 _STREAM_SCHEMA = "stream_id long, file_id long, pos int, name string, root string, type string, change_kind string, field_name string"
 
 
@@ -193,7 +238,7 @@ def _stream(pdf: pd.DataFrame) -> pd.DataFrame:
             _, script = edit_script(tree([(n, kinds.get(n)) for n in names]), tree(list(now.items())))
             for change, a, b in sorted(script):
                 out.append((stream, file, None, None, None, None, change, b))
-            renamed = {b: a for change, a, b in script if change == "renamed"}
+            renamed = {b: a for change, a, b in script if change in ("renamed", "moved")}
             known = {n: roots.get(renamed.get(n, n), n) for n in cols}
             taken: set[str] = set()
             for n in cols:  # a column that comes back under a name another lineage holds keeps its own name
