@@ -25,7 +25,7 @@ def table(spark):
     return rows, spark.createDataFrame([(*r, 1, "x") for r in rows + bad], "id long, g string, day int, v double, chunk int, gid string")
 
 
-@pytest.mark.parametrize("sizes", [(4096, 256, 4096), (64, 4, 50), (64, 2, 0)])
+@pytest.mark.parametrize("sizes", [(4096, 256, 4096), (256, 2, 20)])
 def test_exact(spark, table, monkeypatch, sizes):
     for name, v in zip(("CHUNK", "FAN", "FEW"), sizes):
         monkeypatch.setattr(M, name, v)
@@ -71,3 +71,31 @@ def test_interpolated(spark, table, monkeypatch, sizes):
     for r in M.interpolated(df, ["g"], "v", PROBS, "id").collect():
         v = [x[3] for x in rows if x[1] == r.g]
         assert r.n == len(v) and np.allclose([r[f"q{i}"] for i in range(len(PROBS))], np.quantile(v, PROBS), rtol=1e-12)
+
+
+def test_null_keys_stay_apart(spark):
+    rows = [(i, None if i < 10 else "x", "x" if i < 10 else None, float(i if i < 10 else 90 + i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, v double")
+    got = {(r.a, r.b): (r.n, r.q0) for r in M.multi_select(df, ["a", "b"], "v", [0.5], "id").collect()}
+    assert got == {(None, "x"): (10, 4.0), ("x", None): (10, 104.0)}
+
+
+def test_weights(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 32)
+    monkeypatch.setattr(M, "FEW", 30)
+    rng = np.random.default_rng(4)
+    rows = [(i, float(v), float(w)) for i, (v, w) in enumerate(zip(rng.integers(0, 60, 300), rng.integers(1, 9, 300)))]
+    r = M.multi_select(spark.createDataFrame(rows, "id long, v double, w double"), [], "v", PROBS, "id", "w").first()
+    flat = [v for _, v, w in rows for _ in range(int(w))]
+    assert r.n == len(flat) and [r[f"q{i}"] for i in range(len(PROBS))] == [exact(flat, p) for p in PROBS]
+
+
+def test_rounds_drop_what_they_rule_out(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 64)
+    monkeypatch.setattr(M, "FEW", 8)
+    left = []
+    monkeypatch.setattr(M, "drop_table", lambda t: t is None or left.append(t.selectExpr("sum(size(vals))").first()[0]))
+    df = spark.range(4000).selectExpr("id", "cast((id * 7919) % 4001 as double) as v")
+    v = [float((i * 7919) % 4001) for i in range(4000)]
+    assert M.multi_select(df, [], "v", [0.5], "id").first().q0 == exact(v, 0.5)
+    assert len(left) >= 4 and all(b <= 0.8 * a for a, b in zip(left, left[1:]))

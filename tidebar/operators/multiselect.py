@@ -20,62 +20,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import lookup_join
-from ..session import materialize
+from ..session import drop_table, materialize
 
-#: Values of a chunk, aimed at; chunks of one proposal group; candidates that are picked from directly.
-CHUNK, FAN, FEW = 4096, 256, 4096
+#: Values of a chunk, aimed at; chunks of one proposal group; candidates that are brought together and picked from at the end.
+CHUNK, FAN, FEW = 4096, 256, 1024
+#: Every round rules out at least a quarter of a target's candidates, so this many are never needed.
+MOST_ROUNDS = 400
 
-_OUT = "gid long, chunk long, t int, lt double, eq double, med_b double, n_b double, med_a double, n_a double"
+_STATS = ["t", "lt", "eq", "med_b", "n_b", "c_b", "med_a", "n_a", "c_a"]
 
 
-def _ids(df: DataFrame, keys: list[str]) -> Column:
-    """A number for a group; groups stay apart by their keys, the number only shortens what is shipped."""
-    return F.xxhash64(*keys)
+def _chunks(df: DataFrame, keys: list[str], value: str, weight: str | None, spread: str) -> tuple[DataFrame, DataFrame]:
+    """(groups ``keys, gid, total, chunks``; sorted chunks ``gid, chunk, chunks, total, vals`` of the finite values).
 
-
-def _chunks(df: DataFrame, keys: list[str], value: str, weight: str | None, spread: str) -> DataFrame:
-    """Sorted chunks ``keys, gid, chunk, chunks, total, vals, w`` (w: running weight) of the finite values."""
+    Groups are numbered in a written table and met by their keys, nulls as a value of their own, so no two share a
+    number. Weighted chunks have the weights ``w`` beside ``vals``.
+    """
     v = F.col(value).cast("double")
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    x = df.select(*keys, v.alias("_v"), w.alias("_w"), F.xxhash64(F.col(spread)).alias("_h")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    extra = [F.col(weight).cast("double").alias("_w")] if weight else []
+    x = df.select(*keys, v.alias("_v"), *extra, F.xxhash64(F.col(spread)).alias("_h")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     # -0.0 and 0.0 are one value
-    x = x.withColumn("_v", F.col("_v") + 0.0).withColumn("gid", _ids(x, keys))
-    sizes = materialize(x.groupBy("gid").agg(F.count("*").alias("_n"), F.sum("_w").alias("total")).withColumn("chunks", F.ceil(F.col("_n") / CHUNK)).drop("_n"), "sizes")
-    x = lookup_join(x, sizes.select("gid", "chunks"), ["gid"], "inner")
+    x = x.withColumn("_v", F.col("_v") + 0.0)
+    sizes = x.groupBy(*keys).agg(F.count("*").alias("_n"), (F.sum("_w") if weight else F.count("*").cast("double")).alias("total"))
+    groups = materialize(sizes.where("_n > 0").select(*keys, F.monotonically_increasing_id().alias("gid"), "total", F.ceil(F.col("_n") / CHUNK).alias("chunks")), "groups")
+    x = lookup_join(x, groups, keys, "inner", null_safe=True)
     x = x.withColumn("chunk", F.pmod(F.xxhash64("_h", "_v"), F.col("chunks")))
-    packed = x.groupBy(*keys, "gid", "chunk", "chunks").agg(F.array_sort(F.collect_list(F.struct("_v", "_w"))).alias("_a"))
-    packed = packed.join(sizes.select("gid", "total"), "gid")
-    return packed.select(*keys, "gid", "chunk", "chunks", "total", F.transform("_a", lambda s: s["_v"]).alias("vals"), F.transform("_a", lambda s: s["_w"]).alias("w"))
+    by = ["gid", "chunk", "chunks", "total"]
+    if not weight:
+        return groups, x.groupBy(*by).agg(F.array_sort(F.collect_list("_v")).alias("vals"))
+    packed = x.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_v", "_w"))).alias("_a"))
+    return groups, packed.select(*by, F.transform("_a", lambda s: s["_v"]).alias("vals"), F.transform("_a", lambda s: s["_w"]).alias("w"))
+
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts) if parts else np.zeros(0)))
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three-way counts and the next proposals of each chunk for each open target of its group."""
-    names = [c.split()[0] for c in _OUT.split(", ")]
+
+def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each chunk, and its counts and next proposals for each open target of its group.
+
+    A value stays while it lies in the open range of any target. Counts and medians of a target are those inside its range.
+    """
     for batch in batches:
-        rows = {n: [] for n in names}
-        gid, chunk = batch["gid"].to_numpy(), batch["chunk"].to_numpy()
         vo, vv = np.asarray(batch["vals"].offsets), batch["vals"].values.to_numpy(zero_copy_only=False)
-        wv = batch["w"].values.to_numpy(zero_copy_only=False)
+        weighted = "w" in batch.schema.names
+        wv = batch["w"].values.to_numpy(zero_copy_only=False) if weighted else None
         to, targets = np.asarray(batch["targets"].offsets), batch["targets"].values
         t_id, lo, hi, pivot = (targets.field(c).to_numpy(zero_copy_only=False) for c in ("t", "lo", "hi", "pivot"))
+        kept, kept_w, size = [], [], []
+        out: dict[str, list] = {c: [] for c in _STATS}
         for i in range(batch.num_rows):
             v = vv[vo[i] : vo[i + 1]]
-            cum = np.concatenate([[0.0], np.cumsum(wv[vo[i] : vo[i + 1]])])
-            for j in range(to[i], to[i + 1]):
-                a, b = np.searchsorted(v, lo[j], "right"), np.searchsorted(v, hi[j], "left")
-                p, q = np.searchsorted(v, pivot[j], "left"), np.searchsorted(v, pivot[j], "right")
-                for name, x, y in (("b", a, p), ("a", q, b)):
-                    n = cum[y] - cum[x] if y > x else 0.0
-                    mid = min(int(np.searchsorted(cum, cum[x] + n / 2, "right")) - 1, y - 1) if n > 0 else 0
-                    rows[f"med_{name}"].append(float(v[mid]) if n > 0 else None)
-                    rows[f"n_{name}"].append(n)
-                rows["gid"].append(gid[i])
-                rows["chunk"].append(chunk[i])
-                rows["t"].append(t_id[j])
-                rows["lt"].append(cum[p])
-                rows["eq"].append(cum[q] - cum[p])
-        kinds = {"gid": pa.int64(), "chunk": pa.int64(), "t": pa.int32()}
-        yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds.get(n, pa.float64())) for n in names], names=names)
+            mine = slice(to[i], to[i + 1])
+            cum = np.concatenate([[0.0], np.cumsum(wv[vo[i] : vo[i + 1]])]) if weighted else np.arange(len(v) + 1, dtype=float)
+            a, b = np.searchsorted(v, lo[mine], "right"), np.searchsorted(v, hi[mine], "left")
+            b = np.maximum(a, b)
+            p, q = np.clip(np.searchsorted(v, pivot[mine], "left"), a, b), np.clip(np.searchsorted(v, pivot[mine], "right"), a, b)
+            cover = np.zeros(len(v) + 1, np.int64)
+            np.add.at(cover, a, 1)
+            np.add.at(cover, b, -1)
+            open_ = np.cumsum(cover[:-1]) > 0
+            kept.append(v[open_])
+            if weighted:
+                kept_w.append(wv[vo[i] : vo[i + 1]][open_])
+            size.append(to[i + 1] - to[i])
+            out["t"].append(t_id[mine])
+            out["lt"].append(cum[p] - cum[a])
+            out["eq"].append(cum[q] - cum[p])
+            for name, x, y in (("b", a, p), ("a", q, b)):
+                n = cum[y] - cum[x]
+                middle = np.clip(np.searchsorted(cum, cum[x] + n / 2, "right") - 1, x, np.maximum(x, y - 1))
+                out[f"med_{name}"].append(np.where(y > x, v[np.minimum(middle, max(len(v) - 1, 0))] if len(v) else 0.0, 0.0))
+                out[f"n_{name}"].append(n)
+                out[f"c_{name}"].append((y - x).astype(float))
+        fields = [pa.array(np.concatenate(out[c]), pa.int32() if c == "t" else pa.float64()) for c in _STATS]
+        stats = pa.ListArray.from_arrays(np.cumsum([0, *size]).astype(np.int32), pa.StructArray.from_arrays(fields, _STATS))
+        columns = {"gid": batch["gid"], "chunk": batch["chunk"], "vals": _lists(kept)} | ({"w": _lists(kept_w)} if weighted else {}) | {"stats": stats}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _place(p: float | tuple[float, str], n):
@@ -88,20 +110,20 @@ def _place(p: float | tuple[float, str], n):
     return max(math.ceil(p * n - 1e-9), 1)
 
 
-def _answer(keys: list[str], probs: list):
+def _answer(probs: list):
     """Direct selection in chunks that hold their whole group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, v = np.asarray(batch["vals"].offsets), batch["vals"].values.to_numpy(zero_copy_only=False)
-            w, n = batch["w"].values.to_numpy(zero_copy_only=False), batch["n"].to_numpy(zero_copy_only=False)
+            w = batch["w"].values.to_numpy(zero_copy_only=False) if "w" in batch.schema.names else np.ones(len(v))
+            total = batch["total"].to_numpy(zero_copy_only=False)
             out = np.full((len(probs), batch.num_rows), np.nan)
             for i in range(batch.num_rows):
                 cum = np.cumsum(w[at[i] : at[i + 1]])
                 for j, p in enumerate(probs):
-                    k = _place(p, float(n[i]))
-                    out[j, i] = v[at[i] + min(np.searchsorted(cum, k - 1e-9), len(cum) - 1)]
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], batch["n"], *map(pa.array, out)], names=[*keys, "n", *[f"q{j}" for j in range(len(probs))]])
+                    out[j, i] = v[at[i] + min(np.searchsorted(cum, _place(p, float(total[i])) - 1e-9), len(cum) - 1)]
+            yield pa.RecordBatch.from_arrays([batch["gid"], *map(pa.array, out)], names=["gid", *[f"q{j}" for j in range(len(probs))]])
 
     return run
 
@@ -139,65 +161,80 @@ def multi_select(df: DataFrame, keys: list[str], value: str, probs: list, spread
     that repeat count each time. An empty table gives an empty result. A prob may be ``(p, "low")`` or ``(p, "high")`` for
     the values around the place (n - 1) * p.
     """
-    chunks = materialize(_chunks(df, keys, value, weight, spread), "chunks")
-    rank = lambda p: _place(p, F.col("total")).cast("double")
-    # a group held by one chunk is answered by that chunk
-    single = chunks.where("chunks = 1").select(*keys, F.col("total").alias("n"), "vals", "w")
-    kinds = {f.name: f.dataType.simpleString() for f in single.schema.fields}
-    found = single.mapInArrow(_answer(keys, probs), ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "n"]) + "".join(f", q{i} double" for i in range(len(probs))))
-
+    groups, chunks = _chunks(df, keys, value, weight, spread)
+    chunks = materialize(chunks, "chunks")
+    held = ["vals", "w"] if weight else ["vals"]
+    # a group that one chunk holds is answered by that chunk; there is nothing to bring together
+    single = chunks.where("chunks = 1").select("gid", "total", *held).mapInArrow(_answer(probs), "gid long" + "".join(f", q{i} double" for i in range(len(probs))))
     many = chunks.where("chunks > 1")
-    if many.isEmpty():
-        return found
-    groups = many.groupBy("gid").agg(F.first("total").alias("total"), *[F.first(k).alias(k) for k in keys])
+    answers = single if many.isEmpty() else single.unionByName(_select(many, groups.where("chunks > 1"), probs, held))
+    return groups.join(answers, "gid").select(*keys, F.col("total").alias("n"), *[f"q{i}" for i in range(len(probs))])
+
+
+def _select(many: DataFrame, groups: DataFrame, probs: list, held: list[str]) -> DataFrame:
+    """``gid, q0, ...`` of groups in several chunks: rounds of pivots, counts and ruling out until each target is found.
+
+    A target's state is the rank it looks for inside its open range (lo, hi). A round reads what the last one left of
+    the chunks and writes what is still inside some range.
+    """
     first = _gather(many.select("gid", "chunk", F.get("vals", (F.size("vals") / 2).cast("int")).alias("med_a"), F.size("vals").cast("double").alias("n_a")), ["gid"], ("a",), ())
-    state = groups.select("gid", "total").join(first.select("gid", F.col("med_a").alias("pivot")), "gid")
-    state = state.select("gid", "pivot", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), rank(p).alias("k")) for i, p in enumerate(probs)])).alias("_t"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("t"), F.least(_place(p, F.col("total")).cast("double"), F.col("total")).alias("k")) for i, p in enumerate(probs)])
     inf = F.lit(float("inf"))
-    state = state.select("gid", F.col("_t.t").alias("t"), F.col("_t.k").alias("k"), (-inf).alias("lo"), inf.alias("hi"), "pivot", F.lit(None).cast("double").alias("answer"), F.lit(None).cast("double").alias("left"))
-    state = materialize(state, "state")
-    done, rounds = [], 0
-    while (still := state.where("answer is null").limit(1).count()) and rounds < 200:
-        rounds += 1
-        open_ = state.where("answer is null")
-        targets = materialize(open_.groupBy("gid").agg(F.collect_list(F.struct("t", "lo", "hi", "pivot")).alias("targets")), "targets")
-        counted = lookup_join(many.select("gid", "chunk", "vals", "w"), targets, ["gid"], "inner").mapInArrow(_count, _OUT)
-        totals = _gather(counted, ["gid", "t"], ("b", "a"), ("lt", "eq"))
+    state = groups.select("gid", F.explode(wanted).alias("_t")).join(first.select("gid", F.col("med_a").alias("pivot")), "gid")
+    state = materialize(state.select("gid", "_t.*", (-inf).alias("lo"), inf.alias("hi"), "pivot"), "state")
+    list_type = "array<double>"
+    schema = f"gid long, chunk long, {', '.join(f'{c} {list_type}' for c in held)}, stats array<struct<t:int,{','.join(f'{c}:double' for c in _STATS[1:])}>>"
+    data, last, done = many.select("gid", "chunk", *held), None, []
+    for _ in range(MOST_ROUNDS):
+        targets = materialize(state.groupBy("gid").agg(F.collect_list(F.struct("t", "lo", "hi", "pivot")).alias("targets")), "targets")
+        told = materialize(lookup_join(data, targets, ["gid"], "inner").mapInArrow(_round, schema), "round")
+        drop_table(last)
+        last, data = told, told.where(F.size("vals") > 0).select("gid", "chunk", *held)
+        stats = told.select("gid", "chunk", F.explode("stats").alias("s")).select("gid", "chunk", "s.*")
+        totals = _gather(stats, ["gid", "t"], ("b", "a"), ("lt", "eq", "c_b", "c_a"))
         k, lt, le = F.col("k"), F.col("lt"), F.col("lt") + F.col("eq")
         below, hit = k <= lt + 1e-9, k <= le + 1e-9
-        new = open_.join(totals, ["gid", "t"]).select(
-            "gid", "t", "k",
+        state = state.join(totals, ["gid", "t"]).select(
+            "gid", "t",
+            F.when(below, k).otherwise(k - le).alias("k"),
             F.when(below, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
             F.when(below, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
             F.when(below, F.col("med_b")).when(hit, F.col("pivot")).otherwise(F.col("med_a")).alias("pivot"),
             F.when(~below & hit, F.col("pivot")).alias("answer"),
-            F.when(below, F.col("n_b")).otherwise(F.col("n_a")).alias("left"),
+            F.when(below, F.col("c_b")).otherwise(F.col("c_a")).alias("left"),
         )
-        new = materialize(new, "state")
-        done.append(new.where("answer is not null").select("gid", "t", "answer"))
-        state = new.where("answer is null")
-        # few enough candidates: bring them together and pick
+        state = materialize(state, "state")
+        done.append(state.where("answer is not null").select("gid", "t", "answer"))
+        state = state.where("answer is null")
+        # the last candidates of a target are brought together and picked from
         few = state.where(F.col("left") <= FEW)
-        if weight is None and not few.isEmpty():
-            picked = _pick(many, few)
-            done.append(materialize(picked, "picked"))
-            state = state.where(F.col("left") > FEW)
-    assert not still or rounds < 200
-    if not done:
-        return found
-    answers = reduce(DataFrame.unionByName, done).groupBy("gid").agg(*[F.max(F.when(F.col("t") == i, F.col("answer"))).alias(f"q{i}") for i in range(len(probs))])
-    rest = groups.join(answers, "gid").select(*keys, F.col("total").alias("n"), *[f"q{i}" for i in range(len(probs))])
-    return found.unionByName(rest)
-
-
-def _pick(many: DataFrame, few: DataFrame) -> DataFrame:
-    """Answers of targets with at most FEW candidates left: the k-th value after those at or below ``lo``."""
+        rest, ready = state.agg(F.count(F.when(F.col("left") > FEW, 1)), F.count(F.when(F.col("left") <= FEW, 1))).first()
+        if ready:
+            done.append(materialize(_pick(data, few, held), "picked"))
+        if not rest:
+            drop_table(last)
+            found = reduce(DataFrame.unionByName, done)
+            return found.groupBy("gid").agg(*[F.max(F.when(F.col("t") == i, F.col("answer"))).alias(f"q{i}") for i in range(len(probs))])
+        state = state.where(F.col("left") > FEW)
+    raise RuntimeError(f"multi-select left targets open after {MOST_ROUNDS} rounds")
+
+
+def _pick(data: DataFrame, few: DataFrame, held: list[str]) -> DataFrame:
+    """Answers of targets with at most FEW candidates left: the first at which the weight inside the range reaches k."""
     asked = materialize(few.groupBy("gid").agg(F.collect_list(F.struct("t", "k", "lo", "hi")).alias("targets")), "few")
-    x = lookup_join(many.select("gid", "vals"), asked, ["gid"], "inner").select("gid", "vals", F.explode("targets").alias("s"))
-    lo, hi = F.col("s.lo"), F.col("s.hi")
-    parts = x.select("gid", F.col("s.t").alias("t"), F.col("s.k").alias("k"), F.size(F.filter("vals", lambda v: v <= lo)).alias("under"), F.filter("vals", lambda v: (v > lo) & (v < hi)).alias("mid"))
-    whole = parts.groupBy("gid", "t", "k").agg(F.sum("under").alias("under"), F.array_sort(F.flatten(F.collect_list(F.when(F.size("mid") > 0, F.col("mid"))))).alias("mid"))
-    return whole.select("gid", "t", F.get("mid", (F.col("k") - F.col("under")).cast("int") - 1).alias("answer"))
+    x = lookup_join(data, asked, ["gid"], "inner").select("gid", *held, F.explode("targets").alias("s")).select("gid", "s.*", *held)
+    lo, hi = F.col("lo"), F.col("hi")
+    if "w" in held:
+        inside = F.filter(F.zip_with("vals", "w", lambda v, w: F.struct(v.alias("v"), w.alias("w"))), lambda s: (s["v"] > lo) & (s["v"] < hi))
+    else:
+        inside = F.filter("vals", lambda v: (v > lo) & (v < hi))
+    parts = x.select("gid", "t", "k", inside.alias("mid")).where(F.size("mid") > 0)
+    whole = parts.groupBy("gid", "t", "k").agg(F.array_sort(F.flatten(F.collect_list("mid"))).alias("mid"))
+    if "w" not in held:
+        return whole.select("gid", "t", F.get("mid", F.col("k").cast("int") - 1).alias("answer"))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v"))
+    step = lambda a, s: F.when(a["c"] < F.col("k") - 1e-9, F.struct((a["c"] + s["w"]).alias("c"), s["v"].alias("v"))).otherwise(a)
+    return whole.select("gid", "t", F.aggregate("mid", start, step)["v"].alias("answer"))
 
 
 def day_summaries(df: DataFrame, keys: list[str], day: str, value: str, spread: str, error: float = 0.005) -> DataFrame:
@@ -206,17 +243,18 @@ def day_summaries(df: DataFrame, keys: list[str], day: str, value: str, spread:
     Each sorted chunk of a day keeps the middle of every run of ``step`` values with the run's length as its weight;
     ``step`` is at most ``2 * error`` of the chunk, so errors of chunks and days add up to no more than the same share.
     """
-    chunks = _chunks(df, [*keys, day], value, None, spread)
+    groups, chunks = _chunks(df, [*keys, day], value, None, spread)
     n = F.size("vals")
     step = F.greatest(F.lit(1), F.floor(n * (2 * error)).cast("int"))
     runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda i: F.struct(F.get("vals", F.least(i * step + F.floor((F.least(step, n - i * step) - 1) / 2).cast("int"), n - 1)).alias("value"), F.least(step, n - i * step).cast("double").alias("weight")))
-    return chunks.select(*keys, day, F.explode(runs).alias("s")).select(*keys, day, "s.value", "s.weight")
+    kept = chunks.select("gid", F.explode(runs).alias("s")).select("gid", "s.value", "s.weight")
+    return lookup_join(kept, groups.select("gid", *keys, day), ["gid"], "inner").select(*keys, day, "value", "weight")
 
 
 def combine_summaries(summaries: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     """Percentiles of the whole from the summaries of any days, with their common rank error."""
-    told = summaries.withColumn("_row", F.xxhash64(*summaries.columns))
-    return multi_select(told, keys, "value", probs, "_row", "weight")
+    merged = summaries.groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
+    return multi_select(merged, keys, "value", probs, "value", "weight")
 
 
 def rank_error(n: int, error: float = 0.005) -> int:

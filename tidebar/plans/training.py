@@ -11,6 +11,7 @@ from ..operators.multiselect import combine_summaries, day_summaries, multi_sele
 from ..operators.rejects import load_tick_lines
 from ..operators.spikes import flag_bars
 from ..operators.timestamps import normalise_timestamps
+from ..session import materialize
 from ..sources.tables import table
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -83,6 +84,29 @@ def p5_combined(spark: SparkSession, d: str) -> DataFrame:
     return _named(combine_summaries(day_summaries(_signals(spark, d), keys, "day", "value", "signal_id"), keys, PROBS))
 
 
+def p5_overall(spark: SparkSession, d: str) -> DataFrame:
+    """All symbols together, one group a measure."""
+    q = multi_select(_signals(spark, d).where("level = 'series'"), ["measure"], "value", PROBS, "signal_id")
+    return q.select("measure", F.col("n").cast("long").alias("n"), *[F.col(f"q{i}").alias(n) for i, n in enumerate(NAMES)])
+
+
+#: Rank error the days' summaries of ``p5_overall_combined`` are built for, as a share of the rows.
+COARSE = 0.05
+
+
+def p5_overall_combined(spark: SparkSession, d: str) -> DataFrame:
+    """``measure, prob, exact``: the exact percentile wherever the one combined from coarse days lies within its rank error."""
+    x = _signals(spark, d).where("level = 'series'").where(F.abs("value") < float("inf"))
+    combined = combine_summaries(day_summaries(x, ["measure"], "day", "value", "signal_id", COARSE), ["measure"], PROBS)
+    pairs = lambda q, name: q.select("measure", "n", F.posexplode(F.array(*[f"q{i}" for i in range(len(PROBS))])).alias("i", name))
+    told = materialize(pairs(combined, "told"), "told")
+    places = x.join(F.broadcast(told), "measure").groupBy("measure", "i").agg(F.count(F.when(F.col("value") < F.col("told"), 1)).alias("lt"), F.count(F.when(F.col("value") <= F.col("told"), 1)).alias("le"))
+    exact = pairs(multi_select(x, ["measure"], "value", PROBS, "signal_id"), "exact").withColumn("prob", F.get(F.array(*map(F.lit, PROBS)), F.col("i")))
+    k = F.ceil(F.col("prob") * F.col("n") - 1e-9)
+    within = F.greatest(F.col("lt") + 1 - k, k - F.col("le")) <= F.ceil(F.col("n") * COARSE)
+    return exact.join(places, ["measure", "i"]).select("measure", "prob", F.when(within, F.col("exact")).alias("exact"))
+
+
 def _instants(spark: SparkSession, d: str) -> DataFrame:
     feeds = table(spark, d, "feed")
     ticks = normalise_timestamps(table(spark, d, "tick"), feeds, "tick_id", "dt").withColumn("origin", F.lit("tick"))
@@ -98,7 +122,7 @@ def p6_status(spark: SparkSession, d: str) -> DataFrame:
     return _instants(spark, d).groupBy("origin", "source", "status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ticks, p2_found, p2_table, p3_found, p3_series, p3_bar_gaps, p4_found, p4_states, p5_percentiles, p5_combined, p6_found, p6_status)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ticks, p2_found, p2_table, p3_found, p3_series, p3_bar_gaps, p4_found, p4_states, p5_percentiles, p5_combined, p5_overall, p5_overall_combined, p6_found, p6_status)}
 
 _P1 = r"""
 with sep as (
@@ -196,7 +220,12 @@ c as (select *, sum(w) over (partition by level, key, measure order by value row
 select level, key, measure, cast(max(total) as bigint) as n, {", ".join(f"min(value) filter (where cum >= greatest(ceil({p} * total - 1e-9), 1)) as {n}" for p, n in zip(PROBS, NAMES))} from c group by level, key, measure
 """
 
+_OVERALL = f"""x as (select 'rrv_up' as measure, rrv_up as value from signal_rrv union all select 'rrv_down', rrv_down from signal_rrv),
+q as (select measure, count(*) as n, quantile_disc(value, {PROBS}) as q from x where isfinite(value) group by measure)"""
+
 SQL = {
+    "p5_overall": f"with {_OVERALL} select measure, n, {', '.join(f'q[{i + 1}] as {n}' for i, n in enumerate(NAMES))} from q",
+    "p5_overall_combined": f"with {_OVERALL} select measure, unnest({PROBS}::double[]) as prob, unnest(q) as exact from q",
     "p1_found": _P1 + "select line_id, reason from j where reason is not null",
     "p1_ticks": _P1 + "select line_id, b as bid, a as ask, v as vol from j where reason is null",
     "p3_bar_gaps": _GAPS,
