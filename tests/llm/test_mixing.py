@@ -35,8 +35,8 @@ def slow(counted, rates, seed):
 def test_shares_and_copies(spark, tables, monkeypatch, bucket):
     monkeypatch.setattr(M, "BUCKET", bucket)
     docs, targets = tables
-    drawn, report = M.mix(docs, targets)
-    rows = {r.source: r for r in report.collect()}
+    drawn, plan = M.plan_mix(docs, targets)
+    rows = {r.source: r for r in M.shares(drawn, plan).collect()}
     assert drawn.count() == docs.count()
     for s in "abc":
         assert abs(rows[s].actual_share - rows[s].target_share) < 0.02
@@ -63,7 +63,19 @@ def test_given_total_caps_small_sources(spark, tables):
 
 def test_empty(spark, tables):
     docs, targets = tables
-    drawn, report = M.mix(docs.limit(0), targets)
-    assert drawn.count() == 0 and report.agg(F.sum("drawn_tokens")).first()[0] == 0
-    drawn, report = M.mix(docs, targets.limit(0))
-    assert drawn.agg(F.sum("copies")).first()[0] == 0 and report.count() == 5
+    mixed, report = M.mix(docs.limit(0), targets)
+    assert mixed.count() == 0 and report.agg(F.sum("drawn_tokens")).first()[0] == 0
+    mixed, report = M.mix(docs, targets.limit(0))
+    assert mixed.count() == 0 and report.count() == 5
+
+
+def test_copies_come_with_their_text(spark, tables):
+    docs, targets = tables
+    docs = docs.unionByName(docs.where("doc_id < 40"))  # rows that are there twice
+    drawn, _ = M.plan_mix(docs, targets)
+    mixed = M.mix(docs, targets)[0]
+    want = {(r.doc_id, r.source): (r.n, r.t) for r in drawn.groupBy("doc_id", "source").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("tokens")).alias("t")).collect() if r.n}
+    assert {(r.doc_id, r.source): (r.n, r.t) for r in mixed.groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()} == want
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(texts[r.doc_id] == r.text for r in mixed.collect())
+    assert {r.copy_no for r in mixed.where("source = 'b'").collect()} <= {1, 2, 3, 4}

@@ -4,7 +4,7 @@ from tidebar.llm import reading as R
 
 
 def test_sentences():
-    assert R.sentences("We sold 12 lots. Too late!\nok\n\nThe file was odd") == [["we", "sold", "0", "lots"], ["the", "file", "was", "odd"]]
+    assert R.sentences("We sold 12 lots. Too late!\nok\n\nThe file was odd") == [["we", "sold", "0", "lots"], ["too", "late"], ["ok"], ["the", "file", "was", "odd"]]
     assert R.sentences("hm") == [["hm"]] and R.sentences("...") == [[""]]
 
 
@@ -16,6 +16,12 @@ def test_softmax_gradient_learns_order(spark):
     assert p.argmax(axis=1).tolist() == [0, 3, 0]
 
 
+def test_fits_as_tasks_are_the_same(spark):
+    texts = [f"We got out at noon {i}." if i % 2 else f"Negligible uncertainty presupposes {i} heteroskedastic conditions." for i in range(30)]
+    target = np.eye(4)[[3, 0] * 15]
+    assert np.allclose(R.fit(texts, target).predict(texts), R.fit(texts, target, spark=spark).predict(texts))
+
+
 def test_held_out_accuracy(small):
     import duckdb
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .leakage import find_leaks
-from .mixing import mix
+from .mixing import mix, plan_mix, shares
 from .reading import grade_documents, profile
 
 
@@ -26,7 +26,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+    return shares(*plan_mix(table(spark, d, "documents"), table(spark, d, "mix_target")))
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share
@@ -26,15 +26,17 @@ GRADES = 4
 TRAIN_DOCS = 6000
 BUCKETS, N_GRAMS = 1 << 13, (3, 4)
 ROUNDS, RATE, L2 = 160, 0.08, 2e-4
+#: Words whose parts a task keeps; beyond, it begins anew.
+KEPT_WORDS = 200_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence in lower case; numbers are one word. Pieces of under three words are left out if others remain."""
+    """Words of each sentence in lower case; numbers are one word. A text without words is one empty sentence."""
     parts = [["0" if w[0].isdigit() else w for w in _WORD.findall(s.lower())] for s in _SENTENCE.split(text)]
-    return [p for p in parts if len(p) >= 3] or [p for p in parts if p] or [[""]]
+    return [p for p in parts if p] or [[""]]
 
 
 def grams(word: str) -> list[int]:
@@ -72,24 +74,30 @@ class SentenceModel:
     by_gram: np.ndarray
     by_shape: np.ndarray
     bias: np.ndarray
-    kept: dict[str, np.ndarray] = field(default_factory=dict)
+    kept: dict[str, int] = field(default_factory=dict)
+    parts: np.ndarray = field(default_factory=lambda: np.zeros((1024, GRADES)))
 
     def part(self, word: str) -> np.ndarray:
-        out = self.kept.get(word)
-        if out is None:
-            g = grams(word)
-            out = self.by_gram[g].mean(axis=0) if g else np.zeros(GRADES)
-            i = self.words.get(word)
-            if i is not None:
-                out = out + self.by_word[i]
-            if len(self.kept) < 200_000:
-                self.kept[word] = out
-        return out
+        g = grams(word)
+        out = self.by_gram[g].mean(axis=0) if g else np.zeros(GRADES)
+        i = self.words.get(word)
+        return out if i is None else out + self.by_word[i]
+
+    def row(self, word: str) -> int:
+        """Row of ``parts`` that keeps a word's part; it is worked out when the word is first met."""
+        i = self.kept[word] = len(self.kept)
+        if i == len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        self.parts[i] = self.part(word)
+        return i
 
     def predict(self, found: list[list[str]]) -> np.ndarray:
-        parts = np.array([self.part(w) for s in found for w in s])
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        get = self.kept.get
+        rows = [i if (i := get(w)) is not None else self.row(w) for s in found for w in s]
         at = np.cumsum([0, *map(len, found)])
-        mean = np.add.reduceat(parts, at[:-1]) / np.diff(at)[:, None]
+        mean = np.add.reduceat(self.parts[rows], at[:-1]) / np.diff(at)[:, None]
         return softmax(mean + np.array([_shape(s) for s in found]) @ self.by_shape + self.bias)
 
 
@@ -167,25 +175,55 @@ class DocumentModel:
         return summary(model.predict(found), np.array([len(s) for s in found], float))
 
 
-def fit(texts: list[str], target: np.ndarray, folds: int = 2) -> DocumentModel:
-    """Both models; the second sees only predictions for documents that the first was not trained on."""
-    docs = [sentences(t) for t in texts]
-    fold = np.random.default_rng(5).permutation(len(docs)) % folds
-    x = np.zeros((len(docs), len(summary(np.ones((1, GRADES)), np.ones(1)))))
+def _fit_part(docs: list[list[list[str]]], target: np.ndarray, fold: np.ndarray, k: int) -> tuple[SentenceModel, np.ndarray, np.ndarray]:
+    """The sentence model of all documents outside fold ``k``, and what it says of those inside; no document is in fold -1."""
+    held, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+    if k >= 0 and not (len(held) and len(rest)):
+        held = rest = np.arange(len(docs))
+    model = fit_sentences([docs[i] for i in rest], target[rest])
+    return model, held, np.array([DocumentModel.features(model, docs[i]) for i in held])
+
+
+def _fit_task(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts, target, fold = pickle.loads(shared.value)
+                docs = [sentences(t) for t in texts]
+                done = []
+                for k in batch["k"].to_pylist():
+                    m, held, x = _fit_part(docs, target, fold, k)
+                    done.append(pickle.dumps(((m.words, m.by_word, m.by_gram, m.by_shape, m.bias), held, x)))
+                yield pa.RecordBatch.from_arrays([batch["k"], pa.array(done, pa.binary())], names=["k", "part"])
+
+    return run
+
+
+def fit(texts: list[str], target: np.ndarray, folds: int = 2, spark: SparkSession | None = None) -> DocumentModel:
+    """Both models; the second sees only predictions for documents that the first was not trained on.
+
+    With a session the fits of the folds and the one on all documents are tasks of one job.
+    """
+    fold = np.random.default_rng(5).permutation(len(texts)) % folds
+    numbers = [*range(folds), -1]
+    if spark is None:
+        docs = [sentences(t) for t in texts]
+        parts = {k: _fit_part(docs, target, fold, k) for k in numbers}
+    else:
+        asked = spark.createDataFrame([(k,) for k in numbers], "k long").repartitionByRange(len(numbers), "k")
+        done = asked.mapInArrow(_fit_task(share(spark, (texts, target, fold))), "k long, part binary").collect()
+        found = {r["k"]: pickle.loads(r["part"]) for r in done}
+        parts = {k: (SentenceModel(*m), held, features) for k, (m, held, features) in found.items()}
+    x = np.zeros((len(texts), len(summary(np.ones((1, GRADES)), np.ones(1)))))
     for k in range(folds):
-        held = np.flatnonzero(fold == k)
-        rest = np.flatnonzero(fold != k)
-        if not len(held) or not len(rest):
-            held = rest = np.arange(len(docs))
-        model = fit_sentences([docs[i] for i in rest], target[rest])
-        for i in held:
-            x[i] = DocumentModel.features(model, docs[i])
+        _, held, features = parts[k]
+        x[held] = features
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     centre[-1], scale[-1] = 0.0, 1.0
     z = (x - centre) / scale
     w = np.zeros((z.shape[1], GRADES))
     _adam(lambda: [z.T @ (softmax(z @ w) - target) / len(z) + 1e-4 * w], [w], 400, 0.05)
-    return DocumentModel(fit_sentences(docs, target), centre, scale, w)
+    return DocumentModel(parts[-1][0], centre, scale, w)
 
 
 def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DocumentModel | None:
@@ -197,7 +235,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> D
     rows = graded.select("text", *[f"g{g}" for g in range(1, GRADES + 1)]).collect()
     if not rows:
         return None
-    return fit([r[0] for r in rows], np.array([r[1:] for r in rows], float))
+    return fit([r[0] for r in rows], np.array([r[1:] for r in rows], float), spark=documents.sparkSession)
 
 
 def english(documents: DataFrame) -> DataFrame:
