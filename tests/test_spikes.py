@@ -77,7 +77,56 @@ def test_edges(spark):
     assert S.flag_bars(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 50])
-def test_forward_backward_sums_to_one(n):
-    like = np.random.default_rng(n).random((n, 4)) + 1e-9
-    assert np.allclose(S.forward_backward(like).sum(axis=1), 1)
+def slow_posterior(like, trans, start, end):
+    """Sum over all paths."""
+    from itertools import product
+
+    p = np.zeros_like(like)
+    for path in product(range(like.shape[1]), repeat=len(like)):
+        w = start[path[0]] * end[path[-1]]
+        for t, s in enumerate(path):
+            w *= like[t, s] * (trans[path[t - 1], s] if t else 1.0)
+        for t, s in enumerate(path):
+            p[t, s] += w
+    return p / p.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_forward_backward_is_the_sum_over_paths(n):
+    rng = np.random.default_rng(n)
+    like = rng.random((2, n + 1, 8)) + 1e-9
+    trans = S.transitions(np.array([0.01, 0.05]), np.array([0.02, 0.01]))
+    assert np.allclose(trans.sum(axis=2), 1)
+    length = np.array([n + 1, n])
+    like[1, n:] = 1.0
+    got = S.forward_backward(like, trans, length)
+    end = np.ones(8)
+    end[3:7] = 0
+    for k in range(2):
+        start = trans[k, 0] + 1e-3 * (np.arange(8) == 7)
+        assert np.allclose(got[k, : length[k]], slow_posterior(like[k, : length[k]], trans[k], start, end))
+
+
+@pytest.mark.parametrize("scale", [1e-5, 1e-3, 1.0])
+def test_fit_finds_width_and_rates(scale):
+    rng = np.random.default_rng(7)
+    z = np.abs(rng.standard_t(6, 20_000)) * 2.5
+    z[:100] = np.exp(rng.uniform(np.log(40), np.log(2000), 100))
+    counts = np.histogram(z, S._EDGES)[0][None].astype(float)
+    p = S.fit_series(counts, np.array([40]), np.array([3]), np.array([20_000]))
+    assert abs(p["width"][0] / 2.5 - 1) < 0.1 and abs(p["spike"][0] / 0.005 - 1) < 0.3 and p["repeat"][0] < 0.01
+    # a series that moves more is judged by its own moves, whatever the scale
+    p = walk(3000, 5, scale * 1e-2)
+    usual = float(np.median(np.abs(np.diff(np.log(p[:, 3])))))
+    quiet = S.judge(p, np.full(3000, 1.0), usual)[0]
+    assert quiet.sum() == 0
+    p[1500] *= np.exp(60 * usual)
+    assert np.flatnonzero(S.judge(p, np.full(3000, 1.0), usual)[0]).tolist() == [1500]
+
+
+def test_long_frozen_run_over_block_edges(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 128)
+    p, v = walk(600, 9), np.full(600, 10.0)
+    p[100:420] = p[100]
+    got = {r.bar_id: r.state for r in S.flag_bars(frame(spark, p, v)).collect()}
+    assert [i for i, s in sorted(got.items()) if s != "normal"] == list(range(101, 420))
