@@ -1,11 +1,16 @@
 """Instants against a slow reader built on the standard library."""
 
 import re
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 from tidebar.functions.timetext import zone_abbreviations
-from tidebar.operators.timestamps import normalise_timestamps
+from tidebar.operators.timestamps import date_orders, mixture, normalise_timestamps
 
 EPOCH = datetime(1970, 1, 1)
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -61,7 +66,7 @@ def slow(text, tz, style):
         return us(t) - off
     z = ZoneInfo(tz)
     if zone:
-        found = {(t - o).replace(tzinfo=timezone.utc) for o in {t.replace(tzinfo=z, fold=k).utcoffset() for k in (0, 1)} | {timedelta(microseconds=v) for k, v in zone_abbreviations(tz).items() if k == zone}}
+        found = {(t - o).replace(tzinfo=timezone.utc) for o in {t.replace(tzinfo=z, fold=k).utcoffset() for k in (0, 1)} | {timedelta(microseconds=off) for k, v in zone_abbreviations(tz).items() if k == zone for _, _, off in v}}
         found = {x for x in found if x.astimezone(z).tzname() == zone and x.astimezone(z).replace(tzinfo=None) == t}
     else:
         found = {(t - t.replace(tzinfo=z, fold=k).utcoffset()).replace(tzinfo=timezone.utc) for k in (0, 1)}
@@ -102,7 +107,55 @@ def test_undeclared_style_by_mixture(spark):
     even = [(200, 2, "13/04/2025 10:00", None, None, None), (201, 2, "04/13/2025 10:00", None, None, None), (202, 2, "03/04/2025 10:00", None, None, None), (203, 2, "05/05/2025 10:00", None, None, None)]
     got = run(spark, day_first + even, [(1, "UTC", None), (2, "UTC", None)])
     assert got[100] == (us(datetime(2025, 4, 3, 10)), "ok")
-    assert got[202] == (None, "ambiguous_style") and got[203][1] == "ok" and got[200][1] == got[201][1] == "ok"
+    assert got[202] == (None, "ambiguous") and got[203][1] == "ok" and got[200][1] == got[201][1] == "ok"
+
+
+def test_orders_are_recovered_without_declared_styles(spark, small):
+    """With ``date_style`` taken away every feed with enough dates of one order gets the instants it had with it."""
+    feeds = spark.read.parquet(f"{small}/feed.parquet")
+    tick = spark.read.parquet(f"{small.replace('0.001', '0.01')}/tick.parquet")
+    told = {r.row_id: (r.utc_us, r.source) for r in normalise_timestamps(tick, feeds, "tick_id", "dt").collect()}
+    bare = normalise_timestamps(tick, feeds.withColumn("date_style", F.lit(None).cast("string")), "tick_id", "dt").collect()
+    wrong = [r for r in bare if r.status == "ok" and r.utc_us != told[r.row_id][0] and told[r.row_id][0] is not None]
+    evidence = Counter()
+    for r in tick.select("feed_id", "dt").collect():
+        m = re.match(r"\s*(\d+)/(\d+)/\d{4} ", r.dt or "")
+        evidence[r.feed_id] += bool(m and (int(m[1]) > 12) != (int(m[2]) > 12))
+    enough = {k for k, n in evidence.items() if n >= 6}
+    unsure = {r.source for r in bare if r.status == "ambiguous"}
+    assert not wrong and len(enough) > 8 and not enough & unsure and unsure
+
+
+def test_date_orders():
+    for n in (30, 3000):
+        p, share = date_orders(n, 0, None)
+        assert p[0] > 0.999
+        p, share = date_orders(0.02 * n, n, None)
+        assert p[1] > 0.999
+        p, share = date_orders(n, n, None)
+        assert p[2] > 0.999 and share == 0.5
+    assert np.allclose(date_orders(0, 0, None)[0][:2], 0.495) and date_orders(0, 0, "dmy")[0][1] > 0.999
+    # a few slips do not turn a declared order, plain evidence does
+    assert date_orders(500, 20, "mdy")[0][0] > 0.999 and date_orders(0, 500, "mdy")[0][1] > 0.999
+
+
+def test_units_of_counts():
+    row = lambda form, key, decade, n: {"form": form, "ok_mdy": 0, "ok_dmy": 0, "key": key, "decade": decade, "n": n}
+    weights, units = mixture(pd.DataFrame([row(2, 10_202, None, 50), row(2, 13_202, None, 50), row(1, None, 202, 100)]))
+    assert units[10_202]["s"] > 0.999 and units[13_202]["ms"] > 0.999 and abs(weights["iso"] - 0.5) < 0.01
+    _, units = mixture(pd.DataFrame([row(2, 10_202, None, 5000), row(2, 13_202, None, 3000)]))
+    assert units[10_202]["s"] > 0.999 and units[13_202]["ms"] > 0.999
+    # digits of seconds that lead far beyond anything else of a source that lives in the seventies
+    weights, units = mixture(pd.DataFrame([row(2, 10_227, None, 20), row(1, None, 197, 5000)]))
+    assert units[10_227]["s"] < 0.5
+
+
+def test_abbreviations_by_date(spark):
+    rows = [(1, 1, "01 Jul 1943 10:00:00 EWT", None, None, None), (2, 1, "01 Jul 2025 10:00:00 EST", None, None, None), (3, 2, "01 Feb 1970 10:00:00 BST", None, None, None)]
+    got = run(spark, rows, [(1, "America/New_York", "mdy"), (2, "Europe/London", "dmy")])
+    assert [got[i] for i in (1, 2, 3)] == [(us(datetime(1943, 7, 1, 14)), "ok"), (us(datetime(2025, 7, 1, 15)), "ok"), (us(datetime(1970, 2, 1, 9)), "ok")]
+    msk = zone_abbreviations("Europe/Moscow")["MSK"]
+    assert len({off for _, _, off in msk}) > 1
 
 
 def test_unknown_feed_null_source_and_bad_zone(spark):

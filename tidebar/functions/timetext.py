@@ -70,16 +70,43 @@ def fixed_offset(name: str) -> timedelta | None:
     return None
 
 
-def zone_abbreviations(name: str) -> dict[str, int]:
-    """Abbreviations a region used from 1990 to 2040 with their offsets in microseconds, if each has one meaning."""
+def regions() -> list[str]:
+    """Names of all regions known here (some 600)."""
+    return sorted(available_timezones())
+
+
+def zone_abbreviations(name: str) -> dict[str, list[tuple[int, int, int]]]:
+    """Abbreviations of a region over its whole history: (from, to, offset) in microseconds, the ends as wall-clock readings.
+
+    A reading carries an abbreviation's offset if it lies in one of its stretches. An abbreviation that always meant the
+    same offset has one stretch without ends, so it may be written at any time of the year.
+    """
     if fixed_offset(name) is not None:
         return {}
-    zone, seen, at = ZoneInfo(name), {}, datetime(1990, 1, 1, tzinfo=timezone.utc)
-    while at.year < 2040:
-        local = at.astimezone(zone)
-        seen.setdefault(local.tzname(), set()).add(int(local.utcoffset().total_seconds()) * US)
-        at += timedelta(days=7)
-    return {k: next(iter(v)) for k, v in seen.items() if k and k.isalpha() and len(v) == 1}
+    zone, out = ZoneInfo(name), {}
+    day = timedelta(days=1)
+    at, last = datetime(1850, 1, 1, tzinfo=timezone.utc), datetime(2100, 1, 1, tzinfo=timezone.utc)
+    shown = lambda t: (t.astimezone(zone).tzname(), t.astimezone(zone).utcoffset())
+    begin, state = None, shown(at)
+    while at < last:
+        step = min(at + 7 * day, last)
+        if shown(step) != state or step == last:
+            lo, hi = at, step
+            while shown(hi) != state and hi - lo > timedelta(seconds=1):
+                mid = lo + (hi - lo) / 2
+                lo, hi = (mid, hi) if shown(mid) == state else (lo, mid)
+            name_, offset = state
+            change = hi.replace(microsecond=0) if shown(hi) != state else None
+            us = int(offset.total_seconds()) * US
+            end = None if change is None else int(change.timestamp()) * US + us
+            if name_ and name_.isalpha():
+                out.setdefault(name_, []).append((-(2**62) if begin is None else begin + us, 2**62 if end is None else end, us))
+            if change is None:
+                break
+            begin, state, at = int(change.timestamp()) * US, shown(hi), hi
+        else:
+            at = step
+    return {k: v if len({x[2] for x in v}) > 1 else [(-(2**62), 2**62, v[0][2])] for k, v in out.items()}
 
 
 def with_local_to_utc(df: DataFrame, local_us: str, zone: str) -> DataFrame:

@@ -186,7 +186,7 @@ p as (select *,
   regexp_extract(s, '^(\d{4})(\d{2})(\d{2}) (\d{2})(\d{2})(\d{2})(\d{3})?$', ['y', 'mo', 'd', 'h', 'mi', 'se', 'f']) as com,
   regexp_extract(s, '^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([AP])M)?$', ['a', 'b', 'y', 'h', 'mi', 'se', 'half']) as sla,
   regexp_extract(s, '^(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{1,2}):(\d{2}):(\d{2}) ([A-Z]{2,5})$', ['d', 'mon', 'y', 'h', 'mi', 'se', 'z']) as nam from txt),
-q as (select origin, row_id, file_id, bid, tz_name, s,
+q as (select origin, row_id, feed_id, file_id, bid, tz_name, s,
   case when iso.y <> '' then iso.z when nam.y <> '' then nam.z else '' end as z,
   case when iso.y <> '' then iso.y when com.y <> '' then com.y when sla.y <> '' then sla.y when nam.y <> '' then nam.y end as y,
   case when iso.y <> '' then iso.mo when com.y <> '' then com.mo when sla.y <> '' then case when date_style = 'mdy' then sla.a else sla.b end when nam.y <> '' then try_cast(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(nam.mon)) as varchar) end as mo,
@@ -231,6 +231,9 @@ SQL = {
     "p3_bar_gaps": _GAPS,
     "p3_found": f"with {_INSTANTS}, ticks_missing as (with {_MINUTES}), bars_missing as ({_GAPS}) select origin, source_id, slot from ticks_missing union all select 'bars', source_id, slot from bars_missing",
     "p6_found": f"with {_INSTANTS} select origin, row_id, utc_us from inst where utc_us is not null",
+    "p6_status": f"""with {_INSTANTS}, st as (select origin, feed_id as source, case when regexp_full_match(s, '\\d{{10}}|\\d{{13}}|\\d{{16}}') or (off is not null and t is not null) or (v is not null and len(found) = 1) then 'ok'
+      when t is null then 'unreadable' when z <> '' then 'unknown_abbreviation' when tz_name is null then 'no_zone' when len(found) = 0 then 'skipped' else 'twice' end as status from w)
+      select origin, source, status, count(*) as n from st group by all""",
     "p5_combined": _COMBINED,
     "p5_percentiles": _PERCENTILES,
 }
