@@ -34,25 +34,22 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
     return drift_table(table(spark, d, "drift_file"), table(spark, d, "drift_line"))
 
 
-def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return tick_grid(table(spark, d, "tick"), table(spark, d, "feed")), bar_grid(table(spark, d, "bars"), table(spark, d, "series"))
+def _p3(spark: SparkSession, d: str, impute: bool) -> DataFrame:
+    ticks, bars = tick_grid(table(spark, d, "tick"), table(spark, d, "feed"), impute=impute), bar_grid(table(spark, d, "bars"), table(spark, d, "series"), impute=impute)
+    return ticks.withColumn("origin", F.lit("tick")).unionByName(bars.withColumn("origin", F.lit("bars")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    ticks, bars = _p3(spark, d)
-    both = ticks.select(F.lit("tick").alias("origin"), "source_id", "slot_us", "filled").unionByName(bars.select(F.lit("bars").alias("origin"), "source_id", "slot_us", "filled"))
-    return both.where("filled").select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"))
+    return _p3(spark, d, False).where("missing").select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"))
 
 
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
-    ticks, bars = _p3(spark, d)
-    both = ticks.withColumn("origin", F.lit("tick")).unionByName(bars.withColumn("origin", F.lit("bars")))
-    return both.select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"), "value", "filled", "settled")
+    return _p3(spark, d, True).select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"), "value", "missing", "filled", "settled")
 
 
 def p3_bar_gaps(spark: SparkSession, d: str) -> DataFrame:
-    bars = bar_grid(table(spark, d, "bars"), table(spark, d, "series"))
-    return bars.where("filled").select("source_id", slot_text(F.col("slot_us")).alias("slot"))
+    bars = bar_grid(table(spark, d, "bars"), table(spark, d, "series"), impute=False)
+    return bars.where("missing").select("source_id", slot_text(F.col("slot_us")).alias("slot"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
