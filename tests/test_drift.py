@@ -1,3 +1,5 @@
+from random import Random
+
 from tidebar.operators.drift import drift_changes, drift_table, edit_script, tree
 
 
@@ -27,14 +29,12 @@ def test_moves(spark):
     assert script([("quote.bid", "decimal"), ("n", "integer")], [("bid", "decimal"), ("n", "integer")]) == [("moved", "quote.bid", "bid"), ("removed", "quote", "quote")]
     f, lines = files(spark, [("2025-01-01", ["quote.bid,quote.ask,top.n", "1.5,1.6,3"]), ("2025-01-02", ["quote.ask,top.n,top.bid", "1.7,4,1.6"])])
     assert [(r.change_kind, r.field_name) for r in drift_changes(f, lines).collect()] == [("moved", "top.bid")]
-    rows = {r.line_id: r.fields for r in drift_table(f, lines).collect()}
-    assert rows[3] == {"quote.ask": "1.7", "top.n": "4", "quote.bid": "1.6"}
+    rows = {r.line_id: r.asDict() for r in drift_table(f, lines).collect()}
+    assert rows[3] == {"line_id": 3, "file_id": 1, "stream_id": 1, "line_no": 2, "quote.ask": 1.7, "top.n": 4, "quote.bid": 1.6, "extra": {}}
 
 
 def test_wide_leftovers_are_paired_at_least_cost():
     from functools import lru_cache
-    from random import Random
-
     from tidebar.operators.drift import _likeness
 
     for seed in range(20):
@@ -72,9 +72,36 @@ def test_changes_and_table(spark):
     )
     got = {(r.file_id, r.change_kind, r.field_name) for r in drift_changes(f, lines).collect()}
     assert got == {(2, "renamed", "bid_px"), (3, "retyped", "dt"), (3, "retyped", "vol"), (3, "added", "venue")}
-    rows = {r.line_id: r.fields for r in drift_table(f, lines).collect()}
-    assert rows[3] == {"dt": "20250101 100000000", "bid": "1.5", "vol": "1"}
-    assert {"dt", "bid", "vol"} == set(rows[7])
+    table = drift_table(f, lines)
+    assert dict(table.dtypes) == {"line_id": "bigint", "file_id": "bigint", "stream_id": "bigint", "line_no": "int", "bid": "double", "dt": "string", "venue": "string", "vol": "double", "extra": "map<int,string>"}
+    rows = {r.line_id: (r.dt, r.bid, r.vol, r.venue, r.extra) for r in table.collect()}
+    assert rows[3] == ("20250101 100000000", 1.5, 1.0, None, {}) and rows[4] == ("20250101 100001000", None, 2.0, None, {})
+    assert rows[0] == ("20250103 100000000", 1.5, 7.0, None, {}) and rows[11] == ("1735984800000", 1.5, 2.5, "X", {})
+
+
+def test_one_table_of_several_streams(spark):
+    """Whatever the columns are called and wherever they stand, every cell lands in its lineage's column."""
+    rng = Random(5)
+    f, lines, want, n = [], [], {}, 0
+    for stream in range(6):
+        names, order = ["dt", "bid", "file_id"], [0, 1, 2]
+        for day in range(5):
+            file = stream * 10 + day
+            f.append((file, stream, f"2025-01-{day + 1:02d}"))
+            if day == 2:
+                names = ["dt", "bid_px", "file_id"]
+            rng.shuffle(order)
+            lines.append((n, file, 1, ";".join(names[i] for i in order)))
+            n += 1
+            for k in range(3):
+                values = [f"2025-01-{day + 1:02d} 10:00:0{k}", f"{rng.random() + 1:.3f}" if rng.random() < 0.8 else "", str(rng.randrange(100))]
+                lines.append((n, file, k + 2, ";".join(values[i] for i in order) + (";more" if k == 1 else "")))
+                want[n] = (values[0], float(values[1]) if values[1] else None, int(values[2]), {4: "more"} if k == 1 else {})
+                n += 1
+    f, lines = spark.createDataFrame(f, "file_id long, stream_id long, file_day string"), spark.createDataFrame(lines, "line_id long, file_id long, line_no int, line string")
+    table = drift_table(f, lines)
+    assert table.columns == ["line_id", "file_id", "stream_id", "line_no", "bid", "dt", "file_id_value", "extra"]
+    assert {r.line_id: (r.dt, r.bid, r.file_id_value, r.extra) for r in table.collect()} == want
 
 
 def test_empty(spark):

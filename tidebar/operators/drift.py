@@ -297,15 +297,41 @@ def drift_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     return scripts.where("change_kind is not null").select("stream_id", "file_id", "change_kind", "field_name")
 
 
+#: Types of the one table, by what a column's files hold.
+_WHOLE = {frozenset(["integer"]): "long", frozenset(["decimal"]): "double", frozenset(["integer", "decimal"]): "double", frozenset(["boolean"]): "boolean"}
+_OWN = ["line_id", "file_id", "stream_id", "line_no", "extra"]
+
+
+def table_columns(kinds: dict[str, set[str]]) -> list[tuple[str, str, str]]:
+    """(lineage, column, type) of the one table: a column for each lineage in order of name, of the type all its files fit.
+
+    Whole and decimal numbers make decimals, any other mixture texts. A name that the table needs itself gets ``_value``.
+    """
+    return [(n, f"{n}_value" if n in _OWN else n, _WHOLE.get(frozenset(k), "string")) for n, k in sorted(kinds.items())]
+
+
 def drift_table(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """All data lines in one table: ``line_id, file_id, stream_id, line_no, fields`` (map of the stream's first column names).
+    """All data lines in one typed table: ``line_id, file_id, stream_id, line_no``, a column per lineage, and ``extra``.
 
-    The scripts are compiled into a list of names by position for each file, and that projection is applied to its lines;
-    cells beyond a file's columns are kept as ``extra_<position>``, empty cells are null.
+    A lineage is a column through all its renames and moves, under the name its stream used first; streams whose lineages
+    have the same name share the column. The scripts are compiled into the place of each column in each file, and that
+    projection is applied to the file's lines. Columns a file lacks and empty cells are null; cells beyond a file's
+    columns are kept in the map ``extra`` by their position. Timestamps stay texts, as a file does not say their zone.
+    The names and types come to the driver, which makes the schema of them; no line does.
     """
     scripts, data = drift(files, lines)
-    plan = scripts.where("change_kind is null").groupBy("file_id").agg(F.first("stream_id").alias("stream_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "root"))), lambda s: s["root"]).alias("names"))
-    x = lookup_join(data, materialize(plan, "plan"), ["file_id"])
-    name = lambda i: F.coalesce(F.get(F.col("names"), i), F.concat(F.lit("extra_"), (i + 1).cast("string")))
-    entries = F.transform("cells", lambda c, i: F.struct(name(i).alias("key"), F.nullif(c, F.lit("")).alias("value")))
-    return x.select("line_id", "file_id", "stream_id", "line_no", F.map_from_entries(entries).alias("fields"))
+    scripts = materialize(scripts.where("change_kind is null").select("stream_id", "file_id", "pos", "root", "type"), "scripts")
+    kinds: dict[str, set[str]] = {}
+    for root, kind in scripts.select("root", "type").distinct().collect():
+        kinds.setdefault(root, set()).update([kind] if kind else [])
+    columns = table_columns(kinds)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "root"))), lambda s: s["root"])
+    at = F.array(*[F.array_position("names", n).cast("int") for n, _, _ in columns]) if columns else F.lit(None).cast("array<int>")
+    plan = scripts.groupBy("file_id").agg(F.first("stream_id").alias("stream_id"), names.alias("names"))
+    plan = materialize(plan.select("file_id", "stream_id", F.size("names").alias("width"), at.alias("at")), "plan")
+    x = lookup_join(data, plan, ["file_id"])
+    cell = lambda i: F.nullif(F.get("cells", F.get("at", F.lit(i)) - 1), F.lit(""))
+    typed = [(cell(i) if kind == "string" else cell(i).try_cast(kind)).alias(name) for i, (_, name, kind) in enumerate(columns)]
+    width = F.coalesce("width", F.lit(0))
+    beyond = F.filter(F.transform("cells", lambda c, i: F.struct((i + 1).alias("key"), c.alias("value"))), lambda s: (s["key"] > width) & (s["value"] != ""))
+    return x.select("line_id", "file_id", "stream_id", "line_no", *typed, F.map_from_entries(beyond).alias("extra"))
