@@ -16,6 +16,7 @@ from ..operators import strategy as S
 from ..scale import ranked
 from ..session import materialize, work_dir
 from ..sources.tables import table
+from .machines import book_sql, machine_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -409,11 +410,12 @@ def entry_to_max_profit(spark, d):
 
 @query(f"""with recursive {_CHAIN}, n as (select series_id, count(*) as entries from entries group by series_id), x as (select series_id, count(*) as exits, arg_max(exit_idx, exit_idx) as last from tr group by series_id),
 top as (select series_id, max(capital) as hi from perf group by series_id), tat as (select p.series_id, min(bar_idx) as i, any_value(hi) as hi from perf p join top using (series_id) where capital = hi group by p.series_id),
-back as (select p.series_id, any_value(hi) as hi, any_value(hi) - min(capital) as b from perf p join tat using (series_id) where bar_idx >= i group by p.series_id)
-select n.series_id, (entries + coalesce(exits, 0)) / 2 as trade_num, coalesce(exits, 0) as closed_by_speed, round(hi, 6) as outcome_high, round(b, 6) as biggest_back from n left join x using (series_id) join back using (series_id)""")
+back as (select p.series_id, any_value(hi) as hi, any_value(hi) - min(capital) as b from perf p join tat using (series_id) where bar_idx >= i group by p.series_id),
+fin as (select series_id, round(arg_max(k, exit_idx), 2) as k from kk group by series_id), dd as (select series_id, max(top - capital) as dd from (select *, max(capital) over (partition by series_id order by bar_idx rows unbounded preceding) as top from perf) group by series_id)
+select n.series_id, case when entries + coalesce(exits, 0) > 1 then k else 100.0 end as capital, 0 as closed_by_withdrawal, round(dd, 6) as max_drawdown, (entries + coalesce(exits, 0)) / 2 as trade_num, coalesce(exits, 0) as closed_by_speed, round(hi, 6) as outcome_high, round(b, 6) as biggest_back from n left join x using (series_id) left join fin using (series_id) join back using (series_id) join dd using (series_id)""")
 def outcome_stats(spark, d):
     x = L.outcome_stats(_book(spark, d, ALWAYS)[1], RUN)
-    return rounded(x.select("series_id", "trade_num", "closed_by_speed", "outcome_high", "biggest_back"), "outcome_high", "biggest_back", n=6)
+    return rounded(x.select("series_id", "capital", "trade_num", "closed_by_withdrawal", "closed_by_speed", "outcome_high", "biggest_back", "max_drawdown"), "outcome_high", "biggest_back", "max_drawdown", n=6)
 
 
 @query(f"with recursive {_CHAIN}, f as (select series_id, arg_min(capital, bar_idx) as c0 from perf group by series_id) select gb.series_id, gb.bar_idx, round(coalesce((select arg_max(k, exit_idx) from kk where kk.series_id = gb.series_id and kk.exit_idx <= gb.bar_idx), c0), 6) as anchor from gb join f using (series_id)")
@@ -445,63 +447,92 @@ def observe_slice(spark, d):
     return L.observe(L.trades(book, RUN), bars, KEY, 120).select("series_id", "bar_idx", "close", "entry_idx", "exit_idx", "pnl", "pnl_pct")
 
 
+def _runs(*sets: S.Params) -> str:
+    return f"with recursive {_GB}, {machine_sql(list(sets))}, {book_sql()}"
+
+
 def _trades_of(p: S.Params):
     def run(spark, d):
         t = L.trades(_book(spark, d, p)[1], RUN)
-        return t.select("series_id", "trade_id", "entry_idx", "entry_ts", "entry_price", "exit_idx", "exit_ts", "exit_price", "close_type", "percent", "capital")
+        x = t.select("series_id", F.col("trade_id").cast("long").alias("trade_id"), "entry_idx", "entry_ts", "entry_price", "exit_idx", "exit_ts", "exit_price", "close_type", "percent", "capital")
+        return rounded(x, "percent", "capital", n=6)
 
     return run
 
 
+_TRADE_SQL = "select series_id, trade_id, entry_idx, entry_ts, entry_price, exit_idx, exit_ts, exit_price, close_type, round(percent, 6) as percent, round(capital, 6) as capital from trade"
 for _name, _p in (("long_momentum_trades", LONG), ("short_momentum_trades", SHORT), ("legacy_long_trades", LEGACY)):
     QUERIES[_name] = _trades_of(_p)
+    SQL[_name] = f"{_runs(_p)} {_TRADE_SQL}"
 
+#: Measures of a signal that are prices or sums of prices, compared to nine places.
+_MEASURES = ["withdrawal", "increase", "ana_inc", "total_inc", "holding_wd", "holding_inc", "low_price", "high_price", "execution"]
 
-@query()
-def long_momentum_signal(spark, d):
-    return S.run_strategy(good_bars(spark, d), [LONG], "series_id")
 
+def _signals_of(p: S.Params):
+    def run(spark, d):
+        return rounded(S.run_strategy(good_bars(spark, d), [p], "series_id"), *_MEASURES)
 
-@query()
-def short_momentum_signal(spark, d):
-    return S.run_strategy(good_bars(spark, d), [SHORT], "series_id")
+    return run
 
 
-@query()
+_ROUNDED = ", ".join(f"round({c}, 9) as {c}" for c in _MEASURES)
+for _name, _p in (("long_momentum_signal", LONG), ("short_momentum_signal", SHORT), ("legacy_long_signal", LEGACY)):
+    QUERIES[_name] = _signals_of(_p)
+    SQL[_name] = f"{_runs(_p)} select * replace ({_ROUNDED}) from signals"
+
+
+@query(f"{_runs(LONG)}, d as (select s.* exclude (wd_signal, inc_signal, total_inc_signal, holding_wd_signal, speed_close_signal, have_holding, last_index, low_index, high_index, close, ts), s.ts, gb.open, gb.high, gb.low, gb.close, gb.volume, round(book.capital, 6) as capital from signals s join gb on gb.series_id = s.series_id and gb.bar_idx = s.bar_idx join book on book.series_id = s.series_id and book.bar_idx = s.bar_idx) select * replace ({_ROUNDED}) from d")
 def detail(spark, d):
     """Signals, bars and capital side by side, without the flags that only steer."""
     bars = good_bars(spark, d)
-    signals = S.run_strategy(bars, [LONG], "series_id")
+    signals = materialize(S.run_strategy(bars, [LONG], "series_id"), "signals")
     book = L.ledger(signals, RUN).select(*RUN, "bar_idx", "capital")
     flags = ["wd_signal", "inc_signal", "total_inc_signal", "holding_wd_signal", "speed_close_signal", "have_holding", "last_index", "low_index", "high_index", "close"]
-    return signals.drop(*flags).join(bars.select("series_id", "bar_idx", "open", "high", "low", "close", "volume"), ["series_id", "bar_idx"]).join(book, [*RUN, "bar_idx"])
+    x = signals.drop(*flags).join(bars.select("series_id", "bar_idx", "open", "high", "low", "close", "volume"), ["series_id", "bar_idx"]).join(book, [*RUN, "bar_idx"])
+    return rounded(rounded(x, *_MEASURES), "capital", n=6)
 
 
-@query()
+@query(f"{_runs(LONG)} select series_id, param_id, bar_idx, ts, type, execution as price, case when not opened then close_type end as close_type, case when not opened then round(capital, 6) end as capital, case when not opened then round(percent, 6) end as percent, round(low_price, 9) as low_price, low_date, round(high_price, 9) as high_price, high_date, max_inc, max_wd, period from tx")
 def hover_rows(spark, d):
     """Entries and exits with what the signals say about them at that bar."""
-    signals = S.run_strategy(good_bars(spark, d), [LONG], "series_id")
+    signals = materialize(S.run_strategy(good_bars(spark, d), [LONG], "series_id"), "signals")
     tx = L.transactions(L.ledger(signals, RUN), RUN)
-    return tx.join(signals.select(*RUN, "bar_idx", "low_price", "low_date", "high_price", "high_date", "max_inc", "max_wd", "period"), [*RUN, "bar_idx"])
+    x = tx.join(signals.select(*RUN, "bar_idx", "low_price", "low_date", "high_price", "high_date", "max_inc", "max_wd", "period"), [*RUN, "bar_idx"])
+    return rounded(rounded(x, "capital", "percent", n=6), "low_price", "high_price")
 
 
-@query()
+_COUNTED = [LONG, SHORT, S.Params(4, "legacy", WIDTH, 1e-6, 1e-6, 0.001, WIDTH, 1e-6, 0.001)]
+
+
+@query(f"""{_runs(*_COUNTED)}, f as (select sets.kind, s.series_id, count(*) filter (holding_signal = 1) as entries, count(*) filter (close_type = 1) as by_withdrawal, count(*) filter (close_type = 2) as by_speed, count(*) filter (holding_signal = 3) as held, count(*) filter (holding_signal = 0 and have_holding = 0) as idle, count(*) as bars from signals s join sets on sets.param_id = s.param_id group by all)
+select *, held + entries + by_withdrawal + by_speed + idle = bars as adds_up from f where entries > 0""")
 def close_counts(spark, d):
-    """Exits by kind for each run, with the number of entries: the badge of a chart."""
-    out = None
-    for p in (LONG, SHORT, ALWAYS):
-        tx = L.transactions(_book(spark, d, p)[1], RUN, -1 if p.kind == "short" else 1).withColumn("kind", F.lit(p.kind))
-        out = tx if out is None else out.unionByName(tx)
-    return out.groupBy("kind", "series_id").agg(F.count_if(F.col("type").isin("long", "short")).alias("entries"), F.count_if(F.col("close_type") == 1).alias("by_withdrawal"), F.count_if(F.col("close_type") == 2).alias("by_speed"))
+    """Exits by kind for each run with an entry, the bars held and idle, and whether all add up: the badge of a chart."""
+    signals = S.run_strategy(good_bars(spark, d), _COUNTED, "series_id")
+    kind = F.get(F.array(*[F.lit(p.kind) for p in _COUNTED]), F.array_position(F.array(*[F.lit(p.param_id).cast("long") for p in _COUNTED]), F.col("param_id")).cast("int") - 1)
+    held, idle = F.col("holding_signal") == 3, (F.col("holding_signal") == 0) & (F.col("have_holding") == 0)
+    x = signals.groupBy(kind.alias("kind"), "series_id").agg(F.count_if(F.col("holding_signal") == 1).alias("entries"), F.count_if(F.col("close_type") == 1).alias("by_withdrawal"), F.count_if(F.col("close_type") == 2).alias("by_speed"), F.count_if(held).alias("held"), F.count_if(idle).alias("idle"), F.count("*").alias("bars"))
+    return x.where("entries > 0").withColumn("adds_up", F.expr("held + entries + by_withdrawal + by_speed + idle = bars"))
 
 
-@query()
+SWEEP = [S.Params(100 + 10 * i + j, "long", w, o, o, 0.001, w, 0.0005, 0.001) for i, w in enumerate((8, 12, 24)) for j, o in enumerate((0.0005, 0.001, 0.002))]
+_STATS = "round(outcome_high, 6) as outcome_high, round(biggest_back, 6) as biggest_back, round(max_drawdown, 6) as max_drawdown"
+
+
+@query(f"{_runs(*SWEEP)} select stats.* replace ({_STATS}), sets.open_bar, sets.open_threshold, sets.continue_threshold, sets.open_withdrawal, sets.close_bar, sets.close_threshold, sets.close_withdrawal from stats join sets on sets.param_id = stats.param_id")
 def param_sweep(spark, d):
     """A grid of thresholds and windows; sets that do not fit together are passed over."""
-    sets = [S.Params(100 + 10 * i + j, "long", w, o, o, 0.001, w, 0.0005, 0.001) for i, w in enumerate((8, 12, 24)) for j, o in enumerate((0.0005, 0.001, 0.002))]
-    bars = good_bars(spark, d)
-    stats = L.outcome_stats(L.ledger(S.run_strategy(bars, sets, "series_id"), RUN), RUN)
-    return stats.join(F.broadcast(S.parameters(spark, sets)), "param_id")
+    stats = L.outcome_stats(L.ledger(S.run_strategy(good_bars(spark, d), SWEEP, "series_id"), RUN), RUN)
+    x = stats.join(F.broadcast(S.parameters(spark, SWEEP)), "param_id").drop("kind", "precision", "zero_anchor")
+    return rounded(x, "outcome_high", "biggest_back", "max_drawdown", n=6)
+
+
+@query(f"{_runs(SHORT)} select stats.* replace ({_STATS}) from stats")
+def outcome_stats_short(spark, d):
+    """Final capital, counts, trough and way back of the short machine's runs."""
+    x = L.outcome_stats(_book(spark, d, SHORT)[1], RUN, -1)
+    return rounded(x, "outcome_high", "biggest_back", "max_drawdown", n=6)
 
 
 # --- conditional variance ------------------------------------------------------------------------------------------------
@@ -591,11 +622,11 @@ def trade_markers(spark, d):
     return L.transactions(book, RUN).join(first, "series_id").select("series_id", "bar_idx", "type", (F.col("price") / F.col("_f") * 100).alias("y"))
 
 
-@query()
+@query(f"{_runs(LEGACY, LONG)} select series_id, param_id, round(avg(max_inc), 6) as mean_max_inc, count(max_inc) as stretches from signals group by all")
 def mean_max_increase(spark, d):
     """Mean of the largest rise of each finished or given-up stretch, per run."""
     x = S.run_strategy(good_bars(spark, d), [LEGACY, LONG], "series_id")
-    return x.groupBy(*RUN).agg(F.avg("max_inc").alias("mean_max_inc"), F.count("max_inc").alias("stretches"))
+    return rounded(x.groupBy(*RUN).agg(F.avg("max_inc").alias("mean_max_inc"), F.count("max_inc").alias("stretches")), "mean_max_inc", n=6)
 
 
 @query("select file_id, count(*) as lines from tick_line group by file_id")
