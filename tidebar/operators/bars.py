@@ -41,6 +41,11 @@ def compact_time(text: Column) -> Column:
     return F.when(t.rlike(r"^\d{8} \d{6,9}$"), body.try_cast("timestamp_ntz"))
 
 
+def fixed_to_utc(ts: Column, offset_hours: int = -5) -> Column:
+    """A reading of a clock with a fixed offset as one of UTC; the clock is never shifted, so neither is the offset."""
+    return ts - F.make_dt_interval(hours=F.lit(offset_hours))
+
+
 def tick_bars(ticks: DataFrame, seconds: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """OHLCV bars of ``ts, seq, px, vol``: left-closed, labelled by their start; ties in ts go by seq.
 

@@ -690,7 +690,7 @@ def stream_bars(spark, d):
     return _streamed(spark, d, "stream-bars", lambda t: bars(t, BAR_S)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"{_runs(LONG)} select series_id::varchar as symbol, ts, bar_idx, holding_signal, execution, close_type, period from signals")
 def stream_strategy_signals(spark, d):
     """Signals of the long machine over a stream of bars, one file of the stream being one step of its time."""
     from ..streaming.streams import stream_strategy
@@ -701,4 +701,4 @@ def stream_strategy_signals(spark, d):
     source = spark.readStream.schema(bars.schema).parquet(f"{out}/bars")
     q = stream_strategy(source, LONG).writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/table").select("symbol", "ts", "bar_idx", "holding_signal", "execution", "close_type", "period")
+    return spark.read.parquet(f"{out}/table").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "bar_idx", "holding_signal", "execution", "close_type", "period")

@@ -52,6 +52,11 @@ def p3_bar_gaps(spark: SparkSession, d: str) -> DataFrame:
     return bars.where("missing").select("source_id", slot_text(F.col("slot_us")).alias("slot"))
 
 
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Periods of each source, and how many lack a reading."""
+    return _p3(spark, d, False).groupBy("origin", "source_id").agg(F.count("*").alias("periods"), F.count_if("missing").alias("missing"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return flag_bars(table(spark, d, "bars")).where("state <> 'normal'").select("bar_id")
 
@@ -60,6 +65,11 @@ def p4_states(spark: SparkSession, d: str) -> DataFrame:
     return flag_bars(table(spark, d, "bars"))
 
 
+def p4_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Bars that the model finds out of range or frozen; what these are can be said in rules as well."""
+    return flag_bars(table(spark, d, "bars")).where("state in ('out_of_range', 'stuck')").select("bar_id")
+
+
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "signal_rrv")
     level = lambda name, key: F.struct(F.lit(name).alias("level"), key.cast("string").alias("key"))
@@ -119,7 +129,7 @@ def p6_status(spark: SparkSession, d: str) -> DataFrame:
     return _instants(spark, d).groupBy("origin", "source", "status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ticks, p2_found, p2_table, p3_found, p3_series, p3_bar_gaps, p4_found, p4_states, p5_percentiles, p5_combined, p5_overall, p5_overall_combined, p6_found, p6_status)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ticks, p2_found, p2_table, p3_found, p3_series, p3_bar_gaps, p3_coverage, p4_found, p4_states, p4_faults, p5_percentiles, p5_combined, p5_overall, p5_overall_combined, p6_found, p6_status)}
 
 _P1 = r"""
 with sep as (
@@ -157,6 +167,7 @@ grid as (
   select series_id, unnest(generate_series(greatest(a, session - interval 6 hours), least(b, session + interval 18 hours - to_seconds(period_s)), to_seconds(period_s))) as slot
   from sessions join span using (series_id)
 )
+-- missing
 select distinct g.series_id as source_id, strftime(g.slot, '%Y-%m-%d %H:%M:%S') as slot from grid g
 where hour(g.slot) <> 17 and not exists (select 1 from slots s where s.series_id = g.series_id and s.slot = g.slot and s.volume is not null)
 """
@@ -217,10 +228,27 @@ c as (select *, sum(w) over (partition by level, key, measure order by value row
 select level, key, measure, cast(max(total) as bigint) as n, {", ".join(f"min(value) filter (where cum >= greatest(ceil({p} * total - 1e-9), 1)) as {n}" for p, n in zip(PROBS, NAMES))} from c group by level, key, measure
 """
 
+_COVERAGE = f"""with {_INSTANTS}, gaps as ({_GAPS}), ticks_missing as (with {_MINUTES}), {_GAPS[_GAPS.index("slots as") : _GAPS.index("-- missing")]},
+bar_periods as (select series_id as source_id, count(distinct slot) as periods from grid where hour(slot) <> 17 group by series_id),
+tick_periods as (select file_id as source_id, max(utc_us // 60000000) - min(utc_us // 60000000) + 1 as periods from inst where origin = 'tick' and utc_us is not null and bid > 0 and file_id is not null group by file_id)
+select 'bars' as origin, p.source_id, p.periods, count(g.slot) as missing from bar_periods p left join gaps g on g.source_id = p.source_id group by all
+union all select 'tick', p.source_id, p.periods, count(t.slot) from tick_periods p left join ticks_missing t on t.source_id = p.source_id group by all"""
+
+_FAULTS = """
+with x as (select min(bar_id) as bar_id, series_id, time, open, high, low, close, volume from bars group by series_id, time, open, high, low, close, volume),
+y as (select *, open <= 0 or high <= 0 or low <= 0 or close <= 0 or low > high or open > high or open < low or close > high or close < low as hard,
+  coalesce(volume > 0 and open = lag(open) over w and high = lag(high) over w and low = lag(low) over w and close = lag(close) over w, false) as again from x window w as (partition by series_id order by time nulls first, bar_id)),
+z as (select *, sum((not again)::int) over (partition by series_id order by time nulls first, bar_id rows unbounded preceding) as run from y),
+f as (select *, again and sum(again::int) over (partition by series_id, run) >= 5 as stuck from z)
+select b.bar_id from bars b join f on b.series_id is not distinct from f.series_id and b.time is not distinct from f.time and b.open is not distinct from f.open and b.high is not distinct from f.high
+  and b.low is not distinct from f.low and b.close is not distinct from f.close and b.volume is not distinct from f.volume where coalesce(f.hard, false) or f.stuck"""
+
 _OVERALL = f"""x as (select 'rrv_up' as measure, rrv_up as value from signal_rrv union all select 'rrv_down', rrv_down from signal_rrv),
 q as (select measure, count(*) as n, quantile_disc(value, {PROBS}) as q from x where isfinite(value) group by measure)"""
 
 SQL = {
+    "p3_coverage": _COVERAGE,
+    "p4_faults": _FAULTS,
     "p5_overall": f"with {_OVERALL} select measure, n, {', '.join(f'q[{i + 1}] as {n}' for i, n in enumerate(NAMES))} from q",
     "p5_overall_combined": f"with {_OVERALL} select measure, unnest({PROBS}::double[]) as prob, unnest(q) as exact from q",
     "p1_found": _P1 + "select line_id, reason from j where reason is not null",
