@@ -82,3 +82,16 @@ def test_realised_variance_has_the_horizon_of_its_series(spark):
 def test_fit_far_out_is_bounded():
     f = G.fit_one(np.random.default_rng(78).uniform(-1, 1, 60))
     assert np.isfinite(f["loglik"]) and f["alpha"] + f["beta"] < 1
+
+
+def test_blocks_give_the_path_of_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, i + 5, float(x), 0.01 * k, 0.1, 0.1, 0.8, 1.0, 0.5) for k in (1, 2) for i, x in enumerate(rng.normal(0, 1, 1000 if k == 1 else 37))]
+    df = spark.createDataFrame(rows, "k long, i long, ret double, mu double, omega double, alpha double, beta double, h0 double, eps0 double")
+    monkeypatch.setattr(G, "VARIANCE_BLOCK", 64)
+    got = {(r.k, r.i): r.h for r in G.conditional_variance(df, ["k"], "i").collect()}
+    assert len(got) == len(rows)
+    for k in (1, 2):
+        mine = [r for r in rows if r[0] == k]
+        want = G.variance_path(np.array([r[2] for r in mine]), *mine[0][3:])
+        assert np.allclose([got[k, r[1]] for r in mine], want, rtol=1e-12)

@@ -8,16 +8,18 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..scale import by_group, ranked, scan_groups
+from ..scale import blocked, by_group, lookup_join, ranked, scan_groups
 from ..session import materialize
 from .indicators import forward_variance
 
 FLOOR = 1e-18
 QQ_PIECES = 1000
+#: Rows of a key whose variances are worked out in one go.
+VARIANCE_BLOCK = 8192
 #: Least rows of an evaluation, and bounds on mean forecast over mean realised variance.
 LEAST_ROWS, RATIO_LOW, RATIO_HIGH = 300, 0.2, 5.0
 _FIT = "mu double, omega double, alpha double, beta double, h_last double, eps_last double, loglik double, n long"
@@ -116,19 +118,50 @@ def garch_fit(train: DataFrame, keys: list[str], index: str, value: str = "ret")
 
 
 def conditional_variance(rows: DataFrame, keys: list[str], index: str, value: str = "ret") -> DataFrame:
-    """``h`` at every row from the parameters on it (mu, omega, alpha, beta, h0, eps0), in order of ``index``."""
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + f", {index} long, {value} double, h double"
+    """``h`` at every row from the parameters on it (mu, omega, alpha, beta, h0, eps0), in order of ``index``.
 
-    def start(piece: pa.Table) -> dict:
-        return {c: float(piece[c][0].as_py()) for c in ("mu", "omega", "alpha", "beta", "h0", "eps0")}
-
-    def step(s: dict, piece: pa.Table) -> pa.Table:
-        r = piece[value].to_numpy()
-        h = variance_path(r, *(s[c] for c in ("mu", "omega", "alpha", "beta", "h0", "eps0")))
-        s |= {"h0": float(h[-1]), "eps0": float(r[-1]) - s["mu"]}
-        return pa.table({c: piece[c] for c in (*keys, index, value)} | {"h": pa.array(h)})
+    ``index`` numbers a key's rows without gaps. A step is affine in the variance before it, so a block of rows is as well:
+    each block is reduced to its two factors, the factors are chained over a key's blocks with one row each, and then every
+    block is worked out from the variance it begins with.
+    """
+    names = ["mu", "omega", "alpha", "beta", "h0", "eps0"]
+    first = rows.groupBy(*keys).agg(F.min(index).alias("_first"))
+    x = rows.select(*keys, index, value, *names).join(first, keys)
+    x = blocked(x.withColumn("_at", F.col(index) - F.col("_first")), keys, "_at", VARIANCE_BLOCK, before=1)
+    w = Window.partitionBy(*keys, "_block").orderBy("_at")
+    shock = F.coalesce(F.lag(F.col(value) - F.col("mu")).over(w), F.col("eps0"))
+    x = x.withColumn("_s", F.col("omega") + F.col("alpha") * shock * shock).where("_core").select(*keys, index, value, "_block", "_at", "_s", "beta", "h0")
+    x = materialize(x, "shocks")
+    # the block as h -> h * beta ** n + sum of beta ** (rows after) * s
+    last = F.greatest(F.col("_block") * VARIANCE_BLOCK + VARIANCE_BLOCK - 1, F.lit(0))
+    parts = x.groupBy(*keys, "_block").agg(F.count("*").alias("_n"), F.sum(F.pow("beta", (last - F.col("_at")).cast("double")) * F.col("_s")).alias("_a"), F.first("beta").alias("beta"), F.first("h0").alias("h0"))
+    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", _block long, _start double"
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        h, out = float(pdf["h0"].iloc[0]), []
+        for n, a, beta in zip(pdf["_n"], pdf["_a"], pdf["beta"]):
+            out.append(h)
+            h = h * beta**n + a  # only a key's last block is short, and nothing follows it
+        return pdf[[*keys, "_block"]].assign(_start=out)
+
+    starts = materialize(parts.groupBy(*keys).applyInPandas(chain, schema), "starts")
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {index} long, {value} double, h double"
 
-    return scan_groups(rows.select(*keys, index, value, "mu", "omega", "alpha", "beta", "h0", "eps0"), keys, index, start, step, schema)
+    def start(piece: pa.Table) -> dict:
+        return {"h": float(piece["_start"][0].as_py())}
+
+    def step(state: dict, piece: pa.Table) -> pa.Table:
+        h, out = state["h"], np.empty(piece.num_rows)
+        beta = float(piece["beta"][0].as_py())
+        for t, s in enumerate(piece["_s"].to_numpy().tolist()):
+            h = s + beta * h
+            out[t] = h
+        state["h"] = h
+        return pa.table({c: piece[c] for c in (*keys, index, value)} | {"h": pa.array(out)})
+
+    return scan_groups(lookup_join(x, starts, [*keys, "_block"], "inner"), [*keys, "_block"], "_at", start, step, fields)
 
 
 def next_variance(ret: Column, h: Column, mu: Column, omega: Column, alpha: Column, beta: Column) -> Column:

@@ -193,6 +193,7 @@ def log_returns(bars: DataFrame, keys: list[str], scale: float = 1.0, ts: str =
 
     Also ``first_of_day`` and ``in_halt``; prices not above zero make null returns.
     """
+    bars = materialize(bars, "bars")
     stops = halts(bars, keys, ts=ts).where("halted").select(*keys, F.explode(F.sequence("first_idx", F.col("last_idx") + 1)).alias("bar_idx"), "last_idx")
     stops = stops.select(*keys, "bar_idx", F.when(F.col("bar_idx") <= F.col("last_idx"), 1).otherwise(2).alias("_stop")).groupBy(*keys, "bar_idx").agg(F.min("_stop").alias("_stop"))
     x = blocked(lookup_join(bars, materialize(stops, "stops"), [*keys, "bar_idx"]), keys, "bar_idx", BLOCK, before=1)

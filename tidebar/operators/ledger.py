@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import last_known, lookup_join, scan_groups
+from ..scale import last_known, lookup_join
+from ..session import materialize
 
 #: Range joins of trades and bars go through buckets of so many bars.
 RANGE_BUCKET = 256
+#: Bars of a run that are added up together.
+BLOCK = 8192
 
 
 def ledger(signals: DataFrame, keys: list[str], side: int = 1, capital: float = 100.0, commission: float = 0.0) -> DataFrame:
@@ -18,31 +19,30 @@ def ledger(signals: DataFrame, keys: list[str], side: int = 1, capital: float =
     peak`` (the highest capital so far).
 
     An entry costs the commission and is not marked to market; a position is marked at each close; an exit multiplies
-    the capital by exit over entry (long) or entry over exit (short), which is ``percent``.
+    the capital by exit over entry (long) or entry over exit (short), which is ``percent``. Costs are carried, factors
+    multiplied and peaks taken within blocks of bars first, and over a run's blocks with one row each.
     """
-    kinds = dict(signals.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", bar_idx long, ts timestamp_ntz, holding_signal int, execution double, close_type int, capital double, percent double, peak double"
-
-    def start(_: pa.Table) -> dict:
-        return {"capital": capital, "cost": np.nan, "peak": -np.inf}
-
-    def step(state: dict, piece: pa.Table) -> pa.Table:
-        s, e, c, held = (piece[x].to_pandas().to_numpy(float) for x in ("holding_signal", "execution", "close", "have_holding"))
-        opened = s == 1
-        last = np.maximum.accumulate(np.where(opened, np.arange(len(s)), -1))
-        cost = np.where(last >= 0, e[np.maximum(last, 0)], state["cost"])
-        closed = (s == 0) & (held == 1)
-        with np.errstate(all="ignore"):
-            gain, mark = (e / cost, c / cost) if side > 0 else (cost / e, cost / c)
-        k = np.cumprod(np.concatenate([[state["capital"]], np.where(opened, 1 - commission, np.where(closed, gain, 1.0))]))[1:]
-        shown = np.where(s == 3, k * mark, k)
-        peak = np.maximum.accumulate(np.concatenate([[state["peak"]], shown]))[1:]
-        state |= {"capital": float(k[-1]), "cost": float(cost[-1]), "peak": float(peak[-1])}
-        out = {n: piece[n] for n in (*keys, "bar_idx", "ts", "holding_signal", "execution", "close_type")}
-        return pa.table(out | {"capital": pa.array(shown), "percent": pa.array(gain, mask=~closed), "peak": pa.array(peak)})
-
-    x = signals.select(*keys, "bar_idx", "ts", "holding_signal", "have_holding", "execution", "close_type", "close")
-    return scan_groups(x, keys, "bar_idx", start, step, schema)
+    x = signals.select(*keys, "bar_idx", "ts", "holding_signal", "have_holding", "execution", "close_type", "close").withColumn("_b", F.floor(F.col("bar_idx") / BLOCK))
+    x = materialize(x, "signals")
+    opened = F.col("holding_signal") == 1
+    closed = (F.col("holding_signal") == 0) & (F.col("have_holding") == 1)
+    x = last_known(x.withColumn("_e", F.when(opened, F.col("execution"))), keys, "_b", ["bar_idx"], "_e", "_cost")
+    over = F.try_divide if side > 0 else lambda a, b: F.try_divide(b, a)
+    gain, mark = over(F.col("execution"), F.col("_cost")), over(F.col("close"), F.col("_cost"))
+    x = x.withColumn("percent", F.when(closed, gain)).withColumn("_mark", F.when(F.col("holding_signal") == 3, mark).otherwise(1.0))
+    x = materialize(x.withColumn("_f", F.when(opened, F.lit(1.0 - commission)).when(closed, gain).otherwise(1.0)).drop("_e", "_cost", "have_holding", "close"), "factors")
+    inner = Window.partitionBy(*keys, "_b").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # within a block capital and peak are multiples of what the run had when it began
+    x = x.withColumn("_k", F.product("_f").over(inner)).withColumn("_shown", F.col("_k") * F.col("_mark"))
+    x = x.withColumn("_top", F.max("_shown").over(inner))
+    blocks = x.groupBy(*keys, "_b").agg(F.max_by("_k", "bar_idx").alias("_k"), F.max("_shown").alias("_top"))
+    blocks = blocks.withColumn("_start", F.lit(capital) * F.coalesce(F.product("_k").over(before), F.lit(1.0)))
+    blocks = blocks.withColumn("_high", F.max(F.col("_start") * F.col("_top")).over(before)).select(*keys, "_b", "_start", "_high")
+    x = x.drop("_k").join(blocks, [*keys, "_b"])
+    # greatest passes over the null of the first block
+    peak = F.greatest(F.col("_start") * F.col("_top"), F.col("_high"))
+    return x.select(*keys, "bar_idx", "ts", "holding_signal", "execution", "close_type", (F.col("_start") * F.col("_shown")).alias("capital"), "percent", peak.alias("peak"))
 
 
 def transactions(book: DataFrame, keys: list[str], side: int = 1) -> DataFrame:

@@ -371,8 +371,8 @@ perf as (select gb.series_id, gb.bar_idx, gb.ts, case when gb.bar_idx = n.e then
 
 
 def _book(spark, d, p: S.Params) -> tuple[DataFrame, DataFrame]:
-    bars = good_bars(spark, d)
-    return bars, L.ledger(S.run_strategy(bars, [p], "series_id"), RUN, -1 if p.kind == "short" else 1)
+    bars = materialize(good_bars(spark, d), "bars")
+    return bars, materialize(L.ledger(S.run_strategy(bars, [p], "series_id"), RUN, -1 if p.kind == "short" else 1), "book")
 
 
 @query(f"with recursive {_CHAIN} select series_id, trade_id, entry_idx, entry_ts, entry_price, exit_idx, exit_ts, exit_price, round(percent, 9) as percent, 2 as close_type from tr")
@@ -485,7 +485,7 @@ for _name, _p in (("long_momentum_signal", LONG), ("short_momentum_signal", SHOR
 @query(f"{_runs(LONG)}, d as (select s.* exclude (wd_signal, inc_signal, total_inc_signal, holding_wd_signal, speed_close_signal, have_holding, last_index, low_index, high_index, close, ts), s.ts, gb.open, gb.high, gb.low, gb.close, gb.volume, round(book.capital, 6) as capital from signals s join gb on gb.series_id = s.series_id and gb.bar_idx = s.bar_idx join book on book.series_id = s.series_id and book.bar_idx = s.bar_idx) select * replace ({_ROUNDED}) from d")
 def detail(spark, d):
     """Signals, bars and capital side by side, without the flags that only steer."""
-    bars = good_bars(spark, d)
+    bars = materialize(good_bars(spark, d), "bars")
     signals = materialize(S.run_strategy(bars, [LONG], "series_id"), "signals")
     book = L.ledger(signals, RUN).select(*RUN, "bar_idx", "capital")
     flags = ["wd_signal", "inc_signal", "total_inc_signal", "holding_wd_signal", "speed_close_signal", "have_holding", "last_index", "low_index", "high_index", "close"]
@@ -547,20 +547,21 @@ fv as (select series_id, ret_idx, case when count(ret) over w = {WIDTH} then sum
 ev as (select series_id, ret_idx, sigma2_hat, rv from s2 join fv using (series_id, ret_idx) where rv is not null)"""
 
 
-def _variances(spark, d) -> DataFrame:
-    x = _returns(spark, d).withColumns({"mu": F.lit(MU), "omega": F.lit(OMEGA), "alpha": F.lit(ALPHA), "beta": F.lit(BETA), "h0": F.lit(H0), "eps0": F.lit(EPS0)})
+def _variances(returns: DataFrame) -> DataFrame:
+    x = returns.withColumns({"mu": F.lit(MU), "omega": F.lit(OMEGA), "alpha": F.lit(ALPHA), "beta": F.lit(BETA), "h0": F.lit(H0), "eps0": F.lit(EPS0)})
     return G.conditional_variance(x, KEY, "ret_idx")
 
 
 @query(f"with recursive {_GARCH} select series_id, ret_idx, round(h, 9) as h from hs")
 def garch_variance(spark, d):
-    return rounded(_variances(spark, d).select("series_id", "ret_idx", "h"), "h")
+    return rounded(_variances(_returns(spark, d)).select("series_id", "ret_idx", "h"), "h")
 
 
 def _evaluated(spark, d) -> DataFrame:
     h1 = G.next_variance(F.col("ret"), F.col("h"), F.lit(MU), F.lit(OMEGA), F.lit(ALPHA), F.lit(BETA))
-    x = _variances(spark, d).withColumn("h1", h1).withColumn("sigma2_hat", G.horizon_variance(F.col("h1"), WIDTH, F.lit(OMEGA), F.lit(ALPHA + BETA)))
-    rv = I.forward_variance(_returns(spark, d), KEY, WIDTH).where("rv is not null").select("series_id", "ret_idx", "rv")
+    returns = materialize(_returns(spark, d), "returns")
+    x = _variances(returns).withColumn("h1", h1).withColumn("sigma2_hat", G.horizon_variance(F.col("h1"), WIDTH, F.lit(OMEGA), F.lit(ALPHA + BETA)))
+    rv = I.forward_variance(returns, KEY, WIDTH).where("rv is not null").select("series_id", "ret_idx", "rv")
     return x.join(rv, ["series_id", "ret_idx"])
 
 
@@ -637,7 +638,7 @@ def line_counts(spark, d):
 @query(f"with recursive {_GARCH}, w as (select series_id, min(ret_idx) as a, max(ret_idx) as b from ev group by series_id) select kept.series_id, kept.ret_idx, kept.ts, round(sqrt(ev.sigma2_hat), 9) as vol_hat from kept join w on w.series_id = kept.series_id and kept.ret_idx between a and b left join ev on ev.series_id = kept.series_id and ev.ret_idx = kept.ret_idx")
 def garch_overview(spark, d):
     """Evaluated values laid over the bars of their window."""
-    ev = _evaluated(spark, d).select("series_id", "ret_idx", F.sqrt("sigma2_hat").alias("vol_hat"))
+    ev = materialize(_evaluated(spark, d).select("series_id", "ret_idx", F.sqrt("sigma2_hat").alias("vol_hat")), "evaluated")
     window = ev.groupBy("series_id").agg(F.min("ret_idx").alias("_a"), F.max("ret_idx").alias("_b"))
     x = _returns(spark, d).join(window, "series_id").where("ret_idx between _a and _b").join(ev, ["series_id", "ret_idx"], "left")
     return rounded(x.select("series_id", "ret_idx", "ts", "vol_hat"), "vol_hat")
