@@ -7,12 +7,14 @@ changes; the scripts, chained from a stream's first file on, give each file the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import lookup_join
+from ..scale import by_group, lookup_join
 from ..session import materialize
 
 SEPARATORS = [",", ";", "\t"]
@@ -41,7 +43,8 @@ def value_type(v):
 def _cells(line, sep):
     """Cells of a line; quotes around a whole cell are taken off."""
     parts = F.when(sep == ",", F.split(line, ",")).when(sep == ";", F.split(line, ";")).otherwise(F.split(line, "\t"))
-    return F.transform(parts, lambda c: F.regexp_replace(F.trim(c, F.lit(" \t\r\n")), '^"(.*)"$', "$1"))
+    bare = lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), c.substr(F.lit(2), F.length(c) - 2)).otherwise(c)
+    return F.transform(parts, lambda c: bare(F.trim(c, F.lit(" \t\r\n"))))
 
 
 # --- edit scripts -------------------------------------------------------------------------------------------------
@@ -214,46 +217,62 @@ def edit_script(old: dict, new: dict) -> tuple[float, list[tuple[str, str, str]]
 _STREAM_SCHEMA = "stream_id long, file_id long, pos int, name string, root string, type string, change_kind string, field_name string"
 
 
-def _stream(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk one stream's files by day: inherited headers, changes, and each column's name in the stream's first use."""
-    out: list[tuple] = []
-    names: list[str] = []
-    kinds: dict[str, str | None] = {}
-    roots: dict[str, str] = {}
-    first = True
-    pdf = pdf.sort_values(["file_day", "file_id"], kind="stable", na_position="first")
-    for stream, file, header, types in zip(pdf["stream_id"], pdf["file_id"], pdf["header"], pdf["types"]):
-        own = header is not None
-        given = [None if t is None or t < 0 else TYPES[int(t)] for t in (types if types is not None else [])]
-        new = [str(h) for h in header] if own else (names or [f"column_{i + 1}" for i in range(len(given))])
+class Walk:
+    """One stream's files in order: inherited headers, changes, and each column's name in the stream's first use."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.kinds: dict[str, str | None] = {}
+        self.roots: dict[str, str] = {}
+        self.first = True
+
+    def file(self, header: list[str] | None, types: list[int] | None) -> list[tuple]:
+        """Rows (place, name, root, type, change, field) of the next file: its columns, and its changes."""
+        out: list[tuple] = []
+        given = [None if t is None or t < 0 else TYPES[t] for t in types or []]
+        new = header if header is not None else (self.names or [f"column_{i + 1}" for i in range(len(given))])
+        if not new:
+            return out
         seen: dict[str, int] = {}
         cols = []
         for n in new:  # repeated names in one header stay apart
             seen[n] = seen.get(n, 0) + 1
             cols.append(n if seen[n] == 1 else f"{n}#{seen[n]}")
         now = {n: (given[i] if i < len(given) else None) for i, n in enumerate(cols)}
-        if not own and not cols:
-            continue
-        if not first:
-            _, script = edit_script(tree([(n, kinds.get(n)) for n in names]), tree(list(now.items())))
-            for change, a, b in sorted(script):
-                out.append((stream, file, None, None, None, None, change, b))
+        if self.first:
+            roots = {n: n for n in cols}
+        else:
+            before = [(n, self.kinds.get(n)) for n in self.names]
+            # the same fields with the same types, in whatever order, need no script
+            same = len(before) == len(now) and all(n in now and (now[n] is None or k is None or now[n] == k) for n, k in before)
+            script = [] if same else edit_script(tree(before), tree(list(now.items())))[1]
+            out += [(None, None, None, None, change, b) for change, _, b in sorted(script)]
             renamed = {b: a for change, a, b in script if change in ("renamed", "moved")}
-            known = {n: roots.get(renamed.get(n, n), n) for n in cols}
+            roots = {n: self.roots.get(renamed.get(n, n), n) for n in cols}
             taken: set[str] = set()
             for n in cols:  # a column that comes back under a name another lineage holds keeps its own name
-                if known[n] in taken:
-                    known[n] = n
-                taken.add(known[n])
-            roots = known
+                if roots[n] in taken:
+                    roots[n] = n
+                taken.add(roots[n])
             # a column that is empty in this file keeps the type it had
-            now = {n: k if k is not None else kinds.get(renamed.get(n, n)) for n, k in now.items()}
-        else:
-            roots = {n: n for n in cols}
-        for i, n in enumerate(cols):
-            out.append((stream, file, i, n, roots[n], now[n], None, None))
-        names, kinds, first = cols, now, False
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _STREAM_SCHEMA.split(", ")])
+            now = {n: k if k is not None else self.kinds.get(renamed.get(n, n)) for n, k in now.items()}
+        out += [(i, n, roots[n], now[n], None, None) for i, n in enumerate(cols)]
+        self.names, self.kinds, self.roots, self.first = cols, now, roots, False
+        return out
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by stream, day and file; only the last file's schema is held."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 5]
+    stream, walk = None, Walk()
+    for batch in batches:
+        rows: list[tuple] = []
+        for s, file, header, types in zip(*(batch[c].to_pylist() for c in ("stream_id", "file_id", "header", "types"))):
+            if s != stream:
+                stream, walk = s, Walk()
+            rows += [(s, file, *row) for row in walk.file(header, types)]
+        columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _STREAM_SCHEMA.split(", ")])
 
 
 def _shapes(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +307,8 @@ def drift(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     types = kinds.withColumn("kind", kind).groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind"))), lambda s: s["kind"]).alias("types"))
     known = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("stream_id").cast("long").alias("stream_id"), F.col("file_day").cast("timestamp_ntz").cast("string").alias("file_day")).where("stream_id is not null").dropDuplicates(["file_id"])
     shapes = known.join(heads.select("file_id", "header"), "file_id").join(types, "file_id", "left")
-    return shapes.groupBy("stream_id").applyInPandas(_stream, _STREAM_SCHEMA), data
+    in_order = by_group(shapes.select("stream_id", "file_id", "file_day", "header", "types"), "stream_id").sortWithinPartitions("stream_id", "file_day", "file_id")
+    return in_order.mapInArrow(_walk, _STREAM_SCHEMA), data
 
 
 def drift_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
