@@ -68,4 +68,12 @@ def test_sinks(spark, tmp_path):
     m = spark.createDataFrame([("90", "up", "mean", "1")], "period string, direction string, metric string, value string")
     for _ in range(2):
         sinks.append_range_stats(m, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    both = spark.read.parquet(str(tmp_path / "s"))
+    assert both.count() == 2 and {r.sheet for r in both.collect()} == {1, 2}
+    one = spark.createDataFrame([(1, 2.5)], "param_id int, capital double")
+    assert not sinks.write_sweep_stats(one, str(tmp_path / "sweep")) and not (tmp_path / "sweep").exists()
+    assert sinks.write_sweep_stats(one.unionAll(one.selectExpr("2", "capital")), str(tmp_path / "sweep")) and spark.read.parquet(str(tmp_path / "sweep")).count() == 2
+    sinks.write_trade_stats(one, one, str(tmp_path / "t"))
+    assert {p.name for p in (tmp_path / "t").iterdir()} == {"stats", "trades"}
+    name = sinks.write_parameters(one, str(tmp_path), "XAGUSD", "30s")
+    assert spark.read.json(f"{tmp_path}/{name}").first().capital == 2.5

@@ -17,7 +17,7 @@ from ..session import materialize
 from .indicators import forward_variance
 
 FLOOR = 1e-18
-QQ_PIECES = 1000
+QQ_PIECES = 64
 #: Rows of a key whose variances are worked out in one go.
 VARIANCE_BLOCK = 8192
 #: Least rows of an evaluation, and bounds on mean forecast over mean realised variance.
@@ -230,10 +230,10 @@ def qq_pairs(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     """Values by rank with their plotting position (i - 0.5) / n and the normal quantile there; ties go by ``order``."""
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     n = x.groupBy(*keys).agg(F.count("*").alias("n"))
-    # places on the value axis cut a key into pieces, whose sizes add up to the ranks
-    ends = x.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_z"))
-    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_a"), F.col("_z") - F.col("_a")) * QQ_PIECES), F.lit(0))
-    x = ranked(x.join(ends, keys).withColumn("_b", place), keys, "_b", [value, order])
+    # a key's own quantiles cut it into pieces of about equal size, whose sizes add up to the ranks
+    cuts = x.groupBy(*keys).agg(F.percentile_approx(value, [i / QQ_PIECES for i in range(1, QQ_PIECES)], 10 * QQ_PIECES).alias("_cuts"))
+    x = lookup_join(x, materialize(cuts, "cuts"), keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    x = ranked(x, keys, "_b", [value, order])
     x = x.withColumn("rank", F.col("_rank") + 1).join(n, keys).withColumn("position", (F.col("rank") - 0.5) / F.col("n"))
     return x.select(*keys, order, "rank", "position", normal_quantile("position").alias("theoretical"), F.col(value).alias("observed"))
 

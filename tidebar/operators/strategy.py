@@ -43,7 +43,7 @@ class Params:
         return self.open_withdrawal <= self.open_threshold <= self.continue_threshold and self.close_withdrawal <= self.continue_threshold
 
 
-#: Shipped parameter sets: windows in minutes, thresholds as shares.
+# fixed values: shipped parameter sets, windows in minutes, thresholds as shares
 SHIPPED = {
     "long": {"minutes": 50, "open_threshold": 0.0020, "continue_threshold": 0.0020, "open_withdrawal": 0.0013, "close_threshold": 0.001, "close_withdrawal": 0.0013},
     "short": {"minutes": 10, "open_threshold": 0.0013, "continue_threshold": 0.0013, "open_withdrawal": 0.0013, "close_threshold": 0.0001, "close_withdrawal": 0.0013},

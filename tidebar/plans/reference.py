@@ -216,7 +216,7 @@ def delimiter_detect(spark, d):
 
 @query("select file_id, line_no, line_id, line from tick_line qualify row_number() over (partition by file_id order by line_no, line_id) <= 50")
 def first_rows(spark, d):
-    """Head of every file. The line number bounds what the window sees."""
+    """Head of every file: its first fifty lines by number, then id."""
     x = table(spark, d, "tick_line").select("file_id", "line_no", "line_id", "line")
     return x.withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy("line_no", "line_id"))).where("_n <= 50").drop("_n")
 

@@ -13,28 +13,21 @@ from pyspark.sql import functions as F
 
 #: A lookup is broadcast only up to this many rows (about 10 MB for the narrow lookups used here).
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, null_safe: bool = False) -> DataFrame:
     """Equi-join of a large, possibly skewed table with a lookup that is unique on ``on``.
 
     The lookup's rows are counted first (it should be cheap to read, e.g. materialized). Up to ``limit`` rows it is
-    broadcast, beyond that both sides are shuffled on the keys and a salt: the lookup is repeated for each salt, so the
-    rows of one hot key are spread over ``SALTS`` tasks and none is lost. With ``null_safe`` null keys meet null keys.
+    broadcast, beyond that both sides are shuffled on the keys, and adaptive execution splits the partitions of hot keys.
+    With ``null_safe`` null keys meet null keys.
     """
-    if null_safe:
-        small = small.withColumnsRenamed({k: f"_on_{k}" for k in on})
-        meets = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on], F.lit(True))
-        drop = [f"_on_{k}" for k in on]
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), meets, how).drop(*drop) if null_safe else big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    if null_safe:
-        copies = copies.withColumnRenamed("_salt", "_on_salt")
-        return salted.join(copies, meets & (F.col("_salt") == F.col("_on_salt")), how).drop(*drop, "_salt", "_on_salt")
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    side = F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+    if not null_safe:
+        return big.join(side, on, how)
+    side = side.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    meets = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on], F.lit(True))
+    return big.join(side, meets, how).drop(*[f"_on_{k}" for k in on])
 
 
 def bucket_offsets(df: DataFrame, keys: list[str], bucket: str, weight: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,35 @@ def write_evaluation(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_sweep_stats(stats: DataFrame, path: str) -> bool:
+    """Statistics of a sweep, written only if it has more than one parameter set; whether they were."""
+    several = stats.select("param_id").distinct().limit(2).count() > 1
+    if several:
+        write_results(stats, path)
+    return several
+
+
+def write_trade_stats(stats: DataFrame, trades: DataFrame, path: str) -> None:
+    """Both tables of the trade statistics in one folder."""
+    write_results(stats, f"{path}/stats")
+    write_results(trades, f"{path}/trades")
+
+
+def write_parameters(fit: DataFrame, folder: str, symbol: str, period: str) -> str:
+    """Fitted parameters as JSON under the name of their symbol and period, which is returned."""
+    name = parameter_name(symbol, period)
+    fit.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+    return name
+
+
 def append_range_stats(metrics: DataFrame, path: str) -> None:
-    """Metrics appended under their period and direction, beside earlier ones."""
-    metrics.write.mode("append").partitionBy("period", "direction").parquet(path)
+    """Metrics appended under their period and direction, beside earlier ones; each call is a ``sheet`` with the first free number."""
+    spark = metrics.sparkSession
+    try:
+        taken = spark.read.parquet(path).agg(F.max("sheet")).first()[0] or 0
+    except AnalysisException:  # nothing is there yet
+        taken = 0
+    metrics.withColumn("sheet", F.lit(taken + 1)).write.mode("append").partitionBy("period", "direction").parquet(path)
 
 
 def parameter_name(symbol: str, period: str) -> str:
