@@ -82,7 +82,7 @@ def distances(prices: np.ndarray, hard: np.ndarray, usual: np.ndarray) -> np.nda
         pad = np.pad(close, [(0, 0), (REACH, REACH)], constant_values=np.nan)
         view = np.lib.stride_tricks.sliding_window_view(pad, REACH, axis=1)
         before, after = _median(view[:, : close.shape[1]]), _median(view[:, REACH + 1 :])
-        own = np.nanmean(np.where(hard[..., None], np.nan, logs[..., [0, 3]]), axis=-1)
+        own = _median(np.where(hard[..., None], np.nan, logs[..., [0, 3]]))
         before, after = np.where(np.isnan(before), own, before), np.where(np.isnan(after), own, after)
         away = np.fmin(np.abs(logs - before[..., None]), np.abs(logs - after[..., None]))
         known = ~np.isnan(away).all(axis=-1)
