@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidebar.operators import grid
 from tidebar.operators.grid import bar_grid, slot_text, ssa_impute, ssa_settle, tick_grid
 from tidebar.operators.timestamps import normalise_timestamps
+from tidebar.plans.training import p3_found, p3_series
 
 
 def test_ssa_finds_the_wave():
@@ -134,3 +136,11 @@ def test_long_gap_over_segments_and_edges(spark):
     bars = spark.createDataFrame([(1, 1, None, 1.0, None)], "bar_id long, series_id long, time timestamp_ntz, volume double, loaded_at timestamp_ntz")
     series = spark.createDataFrame([(1, 60)], "series_id long, period_s int")
     assert bar_grid(bars, series).count() == 0
+
+
+def test_found_periods_are_those_of_the_filled_series(spark, small, monkeypatch):
+    calls, fill = [], grid._fill
+    monkeypatch.setattr(grid, "_fill", lambda impute: calls.append(impute) or fill(impute))
+    got = {tuple(r) for r in p3_found(spark, small).collect()}
+    assert calls == [True, True]
+    assert got == {tuple(r) for r in p3_series(spark, small).where("missing").select("origin", "source_id", "slot").collect()}

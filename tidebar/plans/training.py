@@ -40,7 +40,8 @@ def _p3(spark: SparkSession, d: str, impute: bool) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p3(spark, d, False).where("missing").select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"))
+    """Periods without a reading of the series as ``p3_series`` gives it, filled by the same rounds."""
+    return _p3(spark, d, True).where("missing").select("origin", "source_id", slot_text(F.col("slot_us")).alias("slot"))
 
 
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
