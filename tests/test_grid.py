@@ -89,6 +89,45 @@ def test_values_that_did_not_settle_are_marked(spark):
     assert got.where("filled").count() == got.where("missing").count() == 2 and got.where("settled").count() == 90
 
 
+def gappy(seed):
+    rng = np.random.default_rng(seed)
+    x = np.cumsum(rng.normal(0, 1, 60)) if seed % 2 else rng.exponential(1, 60)
+    at = rng.integers(3, 44)
+    x[at : at + 12] = np.nan
+    x[rng.permutation(58)[:4] + 1] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("seed", [0, 174])
+def test_far_resting_points_are_met(seed):
+    holes = gappy(seed)
+    filled, settled = ssa_settle(holes, rounds=1000)
+    assert settled and filled.min() >= np.nanmin(holes) and filled.max() <= np.nanmax(holes)
+
+
+@pytest.mark.parametrize("n, k", [(60, 24), (11, 5), (4, 2), (3, 2)])
+def test_inner_system_says_what_rounds_in_a_subspace_do(n, k):
+    rng = np.random.default_rng(n)
+    gone = np.sort(rng.permutation(n)[: n // 2 + 1])
+    wide, counts = n - k + 1, np.array([sum(0 <= t - i <= n - k for i in range(k)) for t in range(n)], float)
+    lead = np.linalg.qr(rng.normal(size=(k, max(1, k // 3))))[0]
+
+    def change(x):
+        low = lead @ (lead.T @ np.array([x[i : i + wide] for i in range(k)]))
+        return np.array([sum(low[i, t - i] for i in range(k) if 0 <= t - i < wide) / counts[t] for t in gone])
+
+    moves = np.eye(n)[gone]
+    want = (1 + grid.DAMP) * np.eye(len(gone)) - np.array([change(x) for x in moves]).T
+    assert np.allclose(grid._inner_system(gone, k, wide, counts[gone])(lead @ lead.T), want)
+
+
+def test_rounds_of_forty_series(monkeypatch):
+    rounds, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda g: rounds.append(1) or eigh(g))
+    assert all(ssa_settle(gappy(seed))[1] for seed in range(40))
+    assert len(rounds) < 1200
+
+
 def gaps(df):
     return {(r.source_id, r.s) for r in df.where("missing").select("source_id", slot_text(F.col("slot_us")).alias("s")).collect()}
 

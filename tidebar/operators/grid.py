@@ -3,9 +3,10 @@
 Readings fall into periods; a source's periods from its first to its last are cut into segments of bounded length. In
 each segment the missing values are filled by iterative singular-spectrum imputation: the series is embedded in a
 Hankel matrix, its leading singular vectors are kept, the anti-diagonal means replace the missing entries, and this
-repeats until they settle. Steps are extrapolated on the way (Varadhan and Roland's SQUAREM), which leads to the same
-resting point in fewer rounds. Every period without a reading is marked, and so is whether its value is filled, and
-whether it had settled at ROUNDS.
+repeats until they settle. After some plain rounds each one goes on to where further rounds in the same subspace would
+lead, which a linear system says, and steps are extrapolated on the way (Varadhan and Roland's SQUAREM); what ends them
+is still a plain round that changes nothing, met in fewer rounds. Every period without a reading is marked, and so is
+whether its value is filled, and whether it had settled at ROUNDS.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ SEGMENT, CONTEXT = 1024, 48
 #: third of the window; the rounds at which a segment that does not settle is given up, and the change (in standard
 #: deviations) that ends them.
 WINDOW, ENERGY, RANK, ROUNDS, TOLERANCE = 24, 0.98, 8, 10_000, 2e-3
-#: Longest extrapolation, in steps.
+#: Longest extrapolation at first, in steps.
 LEAP = 32.0
+#: Plain rounds before they go on in their subspace, and the damping of that: it leads as far as about 1 / DAMP rounds do.
+PLAIN, DAMP = 12, 0.01
 MINUTE_US = 60_000_000
 
 _SCHEMA = "source_id long, slot_us long, value double, missing boolean, filled boolean, settled boolean"
@@ -49,58 +52,96 @@ def ssa_settle(values: np.ndarray, window: int = WINDOW, energy: float = ENERGY,
     if not miss.any() or not len(have):
         return values.copy(), True
     n = len(values)
-    centre, spread = values[have].mean(), values[have].std()
+    seen = values[have]
+    centre, spread = seen.mean(), seen.std()
     if n < 3 or not spread > 0:
         return np.where(miss, centre, values), True
-    x = (np.interp(np.arange(n), have, values[have]) - centre) / spread
+    x = (np.interp(np.arange(n), have, seen) - centre) / spread
+    gone = np.flatnonzero(miss)
     k = max(2, min(window, n // 2))
     most = max(1, min(rank, k // 3))
     wide = n - k + 1
-    counts = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(k, wide)).astype(float)[miss]
+    counts = np.minimum(np.minimum(gone + 1, n - gone), min(k, wide)).astype(float)
     step = x.strides[0]
     hankel = np.lib.stride_tricks.as_strided(x, (k, wide), (step, step))
     # rows of n + 1 read as rows of n: each moves on by its number, so anti-diagonals become columns
     shifted = np.zeros((k, n + 1))
-    kept, spent = 1, 0
-
-    def plain(at: np.ndarray) -> np.ndarray:
-        """One round from the missing entries ``at``."""
-        nonlocal kept, spent
+    rows, diagonals = shifted[:, :wide], shifted.ravel()[: k * n].reshape(k, n)
+    kept, spent, settled, inner = 1, 0, False, None
+    now, leap = x[gone], LEAP
+    last = now
+
+    def advance(at: np.ndarray) -> np.ndarray:
+        """One round from the missing entries ``at``, which ``last`` holds; after PLAIN rounds, where more in its subspace lead."""
+        nonlocal kept, spent, settled, last, inner
         spent += 1
-        x[miss] = at
+        x[gone] = at
         weights, vectors = np.linalg.eigh(hankel @ hankel.T)
         # the rank may grow but not fall, else it can flip for ever
-        kept = max(kept, min(most, int(np.searchsorted(np.cumsum(weights[::-1]), energy * weights.sum())) + 1))
+        if kept < most:
+            kept = max(kept, min(most, int(np.searchsorted(np.cumsum(weights[::-1]), energy * weights.sum())) + 1))
         lead = vectors[:, -kept:]
-        shifted[:, :wide] = lead @ (lead.T @ hankel)
-        return shifted.ravel()[: k * n].reshape(k, n).sum(axis=0)[miss] / counts
+        np.matmul(lead, lead.T @ hankel, out=rows)
+        last = diagonals.sum(axis=0)[gone] / counts
+        move = last - at
+        settled = bool(np.abs(move).max() < tolerance)
+        if settled or spent <= PLAIN:
+            return last
+        inner = inner or _inner_system(gone, k, wide, counts)
+        return at + np.linalg.solve(inner(lead @ lead.T), move)
 
-    now, settled, leap = x[miss], False, LEAP
     while spent < rounds:
-        one = plain(now)
-        if np.abs(one - now).max() < tolerance:
-            now, settled = one, True
+        one = advance(now)
+        if settled:
             break
-        two = plain(one)
-        if np.abs(two - one).max() < tolerance:
-            now, settled = two, True
+        two = advance(one)
+        if settled:
             break
         first, turn = one - now, (two - one) - (one - now)
         size, bend = np.sqrt(first @ first), np.sqrt(turn @ turn)
         far = min(max(size / bend if bend > 0 else leap, 1.0), leap)
         ahead = now + 2 * far * first + far * far * turn
-        # an extrapolation that ends farther from rest than it began is dropped, and the next ones are shorter
-        landed = plain(ahead)
-        if np.sqrt(((landed - ahead) ** 2).sum()) <= size:
-            now = landed
+        landed = advance(ahead)
+        if settled:
+            break
+        # the next extrapolations may be longer where one as long as allowed ends nearer to rest than it began; one that
+        # ends farther is dropped, and the next are shorter
+        off = landed - ahead
+        if np.sqrt(off @ off) <= size:
+            now, leap = landed, 2 * leap if far == leap and bend > 0 else leap
         else:
             now, leap = two, max(leap / 2, 1.0)
     out = values.copy()
     # what is filled stays within what was seen
-    out[miss] = np.clip(now * spread + centre, values[have].min(), values[have].max())
+    out[gone] = np.clip((last if settled else now) * spread + centre, seen.min(), seen.max())
     return out, settled
 
 
+def _inner_system(gone: np.ndarray, k: int, wide: int, counts: np.ndarray):
+    """From a projector, the damped matrix of the missing entries' move per round: what its solution adds, no round in the subspace changes."""
+    span = 2 * k - 1
+    # entry t takes from entry t + lag the sum of the projector's diagonal ``lag`` over the rows whose columns t is in
+    lag = gone[None, :] - gone[:, None] + k - 1
+    near = (lag >= 0) & (lag < span)
+    lag = np.clip(lag, 0, span - 1)
+    begin = np.maximum(0, gone - wide + 1)[:, None] * span + lag
+    end = (np.minimum(k - 1, gone) + 1)[:, None] * span + lag
+    weight = near / counts[:, None]
+    row = np.arange(k)[:, None]
+    place = row * span + np.arange(k)[None, :] - row + k - 1
+    skewed, sums, own = np.zeros((k, span)), np.zeros((k + 1, span)), np.arange(len(gone))
+
+    def system(projector: np.ndarray) -> np.ndarray:
+        skewed.ravel()[place] = projector
+        np.cumsum(skewed, axis=0, out=sums[1:])
+        flat = sums.ravel()
+        matrix = (flat[begin] - flat[end]) * weight
+        matrix[own, own] += 1.0 + DAMP
+        return matrix
+
+    return system
+
+
 def _fill(impute: bool):
     """Rows are segments ``source_id, period_us, parts, readings``; periods run on over the parts, which have grids of their own."""
 
